@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, lm_score
+from tidemark.llm import byte_bpe, language_id, lm_score, simhash_dedup
 from tidemark.llm.common import fold
 
 
@@ -28,8 +28,19 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, ~held_out, [F.col("doc_id"), held_out.alias("held_out")])
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.deduplicate(_read(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _read(spark, sf_dir, "documents")
+    return byte_bpe.encode(docs, [F.col("doc_id")], public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_lm_score)}
+    return {f.__name__: f for f in (op2_language_id, op3_lm_score, op8_simhash_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
