@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language_id, lm_score, simhash_dedup
+from tidemark.llm import byte_bpe, language_id, lm_score, simhash_dedup, source_mix, url_filter
 from tidemark.llm.common import fold
 
 
@@ -28,6 +28,24 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, ~held_out, [F.col("doc_id"), held_out.alias("held_out")])
 
 
+#: Host, path and verdict of the rules that pages are judged by.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.deduplicate(_read(spark, sf_dir, "documents"))
 
@@ -40,7 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_lm_score, op8_simhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_language_id, op3_lm_score, op4_url_filter, op5_source_mix, op8_simhash_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
