@@ -90,7 +90,7 @@ class ByteModel:
         return found
 
 
-def train(docs: DataFrame, where: Column, text: str = "text", order: int = 5, max_nodes: int = 1 << 17, hot_words: int = 250_000, max_table_bytes: int = 80 << 20):
+def train(docs: DataFrame, where: Column, text: str = "text", order: int = 5, max_nodes: int = 3 << 15, hot_words: int = 250_000, max_table_bytes: int = 80 << 20):
     """The byte model, the table ``(hash, cnt)`` of all words, and the numbers of words, of distinct words and of texts."""
     rows = docs.where(where).select(as_bytes(text).alias("text"))
     counts = materialise(count_corpus(rows, order), "counts")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language_id, lm_score, simhash_dedup, source_mix, url_filter
+from tidemark.llm import byte_bpe, embedding_dedup, language_id, lm_score, quality_classifier, quality_rules, simhash_dedup, source_mix, url_filter
 from tidemark.llm.common import fold
 
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -46,6 +50,19 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 3) == 1
+    model = quality_classifier.train(docs, _read(spark, sf_dir, "labels"), ~held_out)
+    return quality_classifier.score(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality_rules.train(docs, _read(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model, [F.col("doc_id")])
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.deduplicate(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_lm_score, op4_url_filter, op5_source_mix, op8_simhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_lm_score, op4_url_filter, op5_source_mix, op6_quality_classifier, op7_quality_rules, op8_simhash_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
