@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, embedding_dedup, language_id, lm_score, quality_classifier, quality_rules, simhash_dedup, source_mix, url_filter
+from tidemark.llm import byte_bpe, embedding_dedup, language_id, license_scan, lm_score, quality_classifier, quality_rules, simhash_dedup, source_mix, url_filter
 from tidemark.llm.common import fold
 
 
@@ -67,6 +67,11 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.deduplicate(_read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs), [F.col("doc_id")])
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,8 +79,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, [F.col("doc_id")], public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_lm_score, op4_url_filter, op5_source_mix, op6_quality_classifier, op7_quality_rules, op8_simhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_language_id, op3_lm_score, op4_url_filter, op5_source_mix, op6_quality_classifier, op7_quality_rules, op8_simhash_dedup, op9_license_scan, op10_byte_bpe)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
