@@ -7,6 +7,9 @@ is NULL, so that SQL's three-valued logic carries "unknown" through rules.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,13 +87,12 @@ def _instant(c: Column) -> Column:
     whole = F.when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00"))).otherwise(F.regexp_replace(c, r"\s+(Z|[+-]\d{2}:?\d{0,2})\z", "$1"))
     zoned = whole.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)\z") & (F.length(c) > 10)
     full = F.regexp_replace(F.regexp_replace(whole, r"([+-]\d{2})\z", "$1:00"), r"([+-]\d{2})(\d{2})\z", "$1:$2")
-    return F.when(c.rlike(ABSOLUTE), F.when(zoned, full).otherwise(F.concat(whole, F.lit("Z"))).try_cast("timestamp"))
+    whole = F.when(zoned, full).otherwise(F.concat(whole, F.lit("Z")))
+    return F.when(c.rlike(ABSOLUTE), F.regexp_replace(whole, r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2").try_cast("timestamp"))
 
 
 def python_pattern(pattern: str) -> str | None:
     """The pattern for Java, or None where Python's meaning may differ from Java's."""
-    import re
-
     risky = re.search(r"\(\?P|\(\?[aiLmsux]|\(\?\(|\\Z|\\[NuUpP]|\[\[|&&|\\[bBwWdDsS]", pattern)
     unicode_classes = {r"\d", r"\s", r"\w", r"\D", r"\S", r"\W", r"\b", r"\B"}
     if risky and risky.group() not in unicode_classes:
@@ -105,12 +107,8 @@ def full_match(c: Column, pattern: str) -> Column:
     if own is not None:
         return c.rlike(own)
 
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def matches(s: pd.Series) -> pd.Series:
-        import re
-
         find = re.compile(pattern).fullmatch
         return s.map(lambda x: None if x is None else find(x) is not None).astype("boolean")
 
