@@ -113,7 +113,7 @@ def _apart(x: np.ndarray, cosine: float, rng: np.random.Generator, where: slice)
     noise = np.zeros_like(x)
     noise[:, where] = rng.standard_normal(x[:, where].shape)
     noise -= (noise * x).sum(1, keepdims=True) * x
-    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
     return cosine * x + math.sqrt(1 - cosine * cosine) * noise
 
 

@@ -87,6 +87,7 @@ class Trie:
         """
         order, counts = len(by_length) - 1, by_length[0]
         seen = np.zeros(256, bool)
+        seen[PAD] = True  # it stands in contexts
         for g, _ in counts:
             seen[np.unique(g & 255)] = True
         rank = np.where(seen, np.cumsum(seen) - 1, seen.sum()).astype(np.int64)
