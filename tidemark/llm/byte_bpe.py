@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import as_bytes, slices
+from tidemark.llm.common import as_bytes, pieces
 
 
 def byte_characters() -> list[str]:
@@ -83,7 +83,7 @@ class Codec:
     ``memory`` bounds the number of pre-tokens whose ids are remembered.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 120_000):
         import sentencepiece
 
         self.ranks, self.memory = ranks, memory
@@ -146,17 +146,15 @@ def encode(docs: DataFrame, columns: list[Column], path: str, pattern: str, text
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
+        for batch, raw in pieces(batches, "__text", 1 << 20):
             n, kept, of_ids, of_text = [], [], [], []
-            raw = batch.column(batch.num_columns - 1).to_pylist()
-            for run_of in slices(raw, 1 << 20):
-                for got in own.encode([raw[i].decode("utf-8", "replace") for i in run_of]):
-                    n.append(len(got))
-                    if ids:
-                        kept.append(got.astype(np.int32))
-                    if digests:
-                        of_ids.append(hashlib.sha256(got.tobytes()).hexdigest())
-                        of_text.append(hashlib.sha256(own.decode(got)).hexdigest())
+            for got in own.encode([t.decode("utf-8", "replace") for t in raw]):
+                n.append(len(got))
+                if ids:
+                    kept.append(got.astype(np.int32))
+                if digests:
+                    of_ids.append(hashlib.sha256(got.tobytes()).hexdigest())
+                    of_text.append(hashlib.sha256(own.decode(got)).hexdigest())
             made = [pa.array(n, pa.int64())]
             if ids:
                 made.append(pa.array(kept, pa.list_(pa.int32())))
@@ -169,7 +167,7 @@ def encode(docs: DataFrame, columns: list[Column], path: str, pattern: str, text
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "text") -> DataFrame:
     """``rows`` with the text that ``ids`` stand for as ``to``; null ids give null."""
-    shape = rows.schema.add(to, "string")
+    shape = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches):
         own = codec(path, pattern)

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def as_bytes(column: str) -> Column:
 
 
 def word_count(column: str) -> Column:
-    """Number of words, 0 for null.  Counts the word starts, so no array of words is built."""
+    """Number of words, 0 for null; an expression of built-in functions."""
     flat = F.translate(F.coalesce(F.col(column).cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     ")
     return F.coalesce(F.size(F.regexp_extract_all(flat, F.lit("[^ ]+"), F.lit(0))), F.lit(0)).cast("long")
 
@@ -42,6 +43,22 @@ def hash_share(column: Column, share: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
+def top_cutoff(df: DataFrame, column: str, most: int) -> float:
+    """A value that at most ``most`` rows of ``df`` reach in a positive ``column``: as many as whole classes of like values allow.
+
+    Only a histogram of logarithms, of bounded size, reaches the driver; a
+    sorted limit would bring ``most`` rows from every task.
+    """
+    bars = df.groupBy(F.floor(F.log2(F.col(column)) * 16).alias("bar")).agg(F.count("*").alias("n"), F.min(column).alias("low")).collect()
+    taken, cutoff = 0, float("inf")
+    for bar in sorted(bars, key=lambda r: -r["bar"]):
+        taken += bar["n"]
+        if taken > most:
+            break
+        cutoff = bar["low"]
+    return cutoff
+
+
 def slices(texts: list[bytes], limit: int) -> Iterator[list[int]]:
     """Consecutive indices whose texts together hold at most ``limit`` bytes (or one longer text)."""
     run: list[int] = []
@@ -56,8 +73,25 @@ def slices(texts: list[bytes], limit: int) -> Iterator[list[int]]:
         yield run
 
 
-def table(columns: dict[str, Iterable], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+def pieces(batches: Iterable[pa.RecordBatch], column: int | str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of record batches with the bytes of a text column (null: none), each of at most ``limit`` bytes or one row.
+
+    What is made of a part is passed on before the next is read, so a task holds
+    a few times ``limit``, whatever the size of Spark's batches.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        a = 0
+        while a < len(sizes):
+            before = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + limit, "right")))
+            part = batch.slice(a, b - a)
+            texts = part.column(column)
+            if not pa.types.is_binary(texts.type):
+                texts = texts.cast(pa.string()).cast(pa.binary())
+            yield part, [b"" if t is None else t for t in texts.to_pylist()]
+            a = b
 
 
 def masked(batch: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, free_name, hash_share, masked, slices
+from tidemark.llm.common import as_bytes, hash_share, masked, pieces, slices
 
 # Classes of bytes; everything not named is of class 0, letters.
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".", b",;:", b"!?", b"#*$%&|<>", b"'\"()[]{}", b"-_/\\+=@~^`"]
@@ -60,13 +60,13 @@ def _word_features(text: bytes) -> list[float]:
 def features(texts: list[bytes]) -> np.ndarray:
     """One vector a text: how often each class of byte follows each other, and counts over words."""
     out = np.zeros((len(texts), N_FEATURES), np.float32)
-    for own in slices(texts, 4 << 20):
+    for own in slices(texts, 1 << 20):
         data = _CLASS[np.frombuffer(b"\n".join(texts[i] for i in own) + b"\n", np.uint8)]
         size = np.array([len(texts[i]) for i in own])
-        doc = np.repeat(np.arange(len(own)), size + 1)
-        pair = data[:-1].astype(np.int64) * N_CLASSES + data[1:]
-        inside = doc[:-1] == doc[1:]  # the line end after a text is its last byte's neighbour
-        grid = np.bincount(doc[:-1][inside] * (N_CLASSES**2) + pair[inside], minlength=len(own) * N_CLASSES**2).reshape(len(own), -1)
+        doc = np.repeat(np.arange(len(own), dtype=np.int32) * N_CLASSES**2, size + 1)
+        pair = doc[:-1] + data[:-1].astype(np.int32) * N_CLASSES + data[1:]
+        pair = pair[doc[:-1] == doc[1:]]  # the line end after a text is its last byte's neighbour
+        grid = np.bincount(pair, minlength=len(own) * N_CLASSES**2).reshape(len(own), -1)
         out[own, : N_CLASSES**2] = np.sqrt(grid / np.maximum(size, 1)[:, None])
     for i, t in enumerate(texts):
         out[i, N_CLASSES**2 :] = _word_features(t)
@@ -185,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text",
     rows = docs.select(F.col(id_column).alias("id"), as_bytes(text).alias("text")).join(F.broadcast(chosen), "id").select("y", "id", "text")
 
     def run(batches):
-        for batch in batches:
-            got = features(batch.column(2).to_pylist())
+        for batch, texts in pieces(batches, 2):
+            got = features(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array([x.tobytes() for x in got], pa.binary())], names=["y", "id", "x"])
 
     found = rows.mapInArrow(run, "y int, id string, x binary").toArrow()
@@ -210,8 +210,8 @@ def score(docs: DataFrame, model: QualityModel, columns: list[Column], text: str
     shape = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
-        for batch in batches:
-            got = shared.value.scores(batch.column(batch.num_columns - 1).to_pylist())
+        for batch, texts in pieces(batches, "__text"):
+            got = shared.value.scores(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=shape.names)
 
     return docs.select(*columns, as_bytes(text).alias("__text")).mapInArrow(run, shape)
@@ -220,11 +220,9 @@ def score(docs: DataFrame, model: QualityModel, columns: list[Column], text: str
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least 0.5, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    raw = free_name(docs, "raw")
 
     def run(batches):
-        for batch in batches:
-            got = shared.value.scores(batch.column(batch.num_columns - 1).to_pylist())
-            yield masked(batch.select(batch.schema.names[:-1]), got >= 0.5)
+        for batch, texts in pieces(batches, text):
+            yield masked(batch, shared.value.scores(texts) >= 0.5)
 
-    return docs.withColumn(raw, as_bytes(text)).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

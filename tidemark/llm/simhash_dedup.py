@@ -29,8 +29,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import as_bytes, free_name
+from tidemark.llm.common import as_bytes, free_name, pieces
 from tidemark.operators.components import connected_components
 from tidemark.runtime import materialise
 
@@ -63,13 +64,27 @@ def fingerprints(docs: DataFrame, columns: list[Column], name: str, text: str =
     """``columns`` of every row with the fingerprint (a signed long) as ``name``."""
 
     def run(batches):
-        for batch in batches:
-            found = np.fromiter((fingerprint(t, size) for t in batch.column(batch.num_columns - 1).to_pylist()), np.uint64, batch.num_rows)
+        for batch, texts in pieces(batches, "__text"):
+            found = np.fromiter((fingerprint(t, size) for t in texts), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], name])
 
     return docs.select(*columns, as_bytes(text).alias("__text")).mapInArrow(run, docs.select(*columns).schema.add(name, "long"))
 
 
+def _numbered(docs: DataFrame, fp: str, row: str, text: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row as ``fp`` and a unique number as ``row``, which holds once it is written."""
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 40
+        for batch, texts in pieces(batches, text):
+            found = np.fromiter(map(fingerprint, texts), np.uint64, batch.num_rows)
+            rows = np.arange(at, at + batch.num_rows)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64)), pa.array(rows)], names=[*batch.schema.names, fp, row])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(row, T.LongType())]))
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -278,16 +293,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rad
     rows with equal ids, or none, stay apart.
     """
     fp, row = free_name(docs, "fp"), free_name(docs, "row")
-    whole = fingerprints(docs, [F.col(f"`{c}`") for c in docs.columns], fp, text)
-
-    def number(batches):
-        at = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names, row])
-            at += batch.num_rows
-
-    shape = whole.schema
-    kept = materialise(whole.mapInArrow(number, type(shape)(list(shape.fields)).add(row, "long")), "numbered")
+    kept = materialise(_numbered(docs, fp, row, text), "numbered")
     key = F.struct(F.col(id_column).isNull(), F.col(id_column), F.col(row).alias("row"))
     slim = kept.select(F.col(fp).alias("fp"), key.alias("key"))
     groups = _groups(slim, radius, F.min("key"))
