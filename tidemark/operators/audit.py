@@ -16,6 +16,7 @@ from tidemark.plans.config import AuditConfig
 from tidemark.plans.findings import EVIDENCE, AuditReport, Planner, metadata
 from tidemark.sources.tables import ROW, Table, bind
 
+# What names of identifier columns look like.
 IDENTIFIER_NAME = re.compile(r"(^id$|_id$|^id_|index|identifier|uuid|barcode)", re.I)
 # Texts that stand in for a source.
 PLACEHOLDERS = ["unknown", "n/a", "na", "none", "todo", "tbd", "unspecified"]
