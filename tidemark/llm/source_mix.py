@@ -90,17 +90,17 @@ def _until(x: Column, n: Column, q: Column, u: Column, block: Column, length: Co
     return F.when((n == 0) | (q == 0), F.lit(0)).when(q >= n, x).otherwise(count * block + last).cast("long")
 
 
-def place(docs: DataFrame, columns: list[Column], text: str = "text", source: str = "source", id_column: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block: int | None = None, shard_words: int = 1 << 22) -> DataFrame:
+def place(docs: DataFrame, columns: list[Column], text: str = "text", source: str = "source", id_column: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block: int | None = None, shard_words: int = 1 << 18) -> DataFrame:
     """``columns`` of every row with size, source_size, target, taken, and where in the shard it lies.
 
     ``block`` words make a block; without it, the largest power of two up to
-    8192 of which the smallest positive target holds 256.  A shard holds about
+    1024 of which the smallest positive target holds 256.  A shard holds about
     ``shard_words`` words.
     """
     sizes = docs.select(*columns, F.col(id_column).alias("__id"), F.col(source).alias("source_key"), word_count(text).alias("size"))
     sizes = materialise(sizes, "sizes")
     goals = targets(sizes.select(F.col("source_key").alias("source"), "size"), weights, share, most)
-    fit = F.least(F.lit(8192.0), F.greatest(F.lit(1.0), F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy()) / 256))
+    fit = F.least(F.lit(1024.0), F.greatest(F.lit(1.0), F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy()) / 256))
     size_of_block = F.lit(float(block)) if block else F.pow(F.lit(2.0), F.floor(F.log2(fit)))
     goals = goals.withColumn("block", F.coalesce(size_of_block, F.lit(1.0)).cast("long"))
     goals = goals.withColumn("seats", F.round(F.sum("target").over(W.partitionBy()) / F.col("block")))
