@@ -53,7 +53,8 @@ def sainte_lague(shares: DataFrame, key: list[str], votes: str, seats: str, with
 
     A row whose exact share is s first gets round(s); as rounding leaves at most
     half a seat a row over or short, only the next few quotients of each row
-    are then compared to hand out, or take back, the difference.
+    are then compared to hand out, or take back, the difference.  Of equal
+    quotients the one with the smaller key comes first.
     """
     group = W.partitionBy(*(within or []))
     exact = F.when(F.sum(votes).over(group) > 0, F.col(votes) * F.col(seats) / F.sum(votes).over(group)).otherwise(F.lit(0.0))
@@ -64,8 +65,9 @@ def sainte_lague(shares: DataFrame, key: list[str], votes: str, seats: str, with
     steps = first.where("__reach > 0").select(*key, votes, "__first", "__over", F.explode(F.sequence(F.lit(0), F.col("__reach") - 1)).alias("__i"), *[c for c in within or [] if c not in key])
     seat = F.when(F.col("__over") > 0, F.col("__first") + F.col("__i")).otherwise(F.col("__first") - 1 - F.col("__i"))
     quotient = F.col(votes) / (2 * seat + 1)
-    order = W.partitionBy(*(within or [])).orderBy(F.when(F.col("__over") > 0, -quotient).otherwise(quotient), *key)
-    moved = steps.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.abs(F.col("__over")))
+    given = F.row_number().over(W.partitionBy(*(within or [])).orderBy(-quotient, *key))
+    taken_back = F.row_number().over(W.partitionBy(*(within or [])).orderBy(quotient, *[F.desc(k) for k in key]))
+    moved = steps.withColumn("__n", F.when(F.col("__over") > 0, given).otherwise(taken_back)).where(F.col("__n") <= F.abs(F.col("__over")))
     moved = moved.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg((F.signum(F.first("__over")) * F.count("*")).alias("__more"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
     condition = same[0]
