@@ -6,8 +6,8 @@ its bytes, A-Z lower-cased, and of its end.  Beside it stands the score of an
 add-one unigram model over words, for comparison.
 
 Counts cover all training rows.  One pass over the text gives the byte windows
-and, by 64-bit hash, the words of each task, already summed.  The ``hot_words``
-most frequent words (a fixed number) go to every executor; all rarer words of a
+and, by 64-bit hash, the words of each task, already summed.  The most
+frequent words (``hot_words`` at most) go to every executor; all rarer words of a
 document take a shuffle join with the full table of counts, so nothing that
 grows with the corpus is broadcast.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import ppm
-from tidemark.llm.common import as_bytes, slices
+from tidemark.llm.common import as_bytes, pieces, top_cutoff
 from tidemark.runtime import materialise
 
 WORDS = -1  # stands for a model in tables of counts
@@ -55,9 +55,8 @@ def count_corpus(texts: DataFrame, order: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), WORDS, np.int32)), pa.array(k), pa.array(cnt[a : a + 200_000])], schema=ppm.COUNTS)
             words.clear()
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                text = text.lower()
+        for _, texts in pieces(batches, 0):
+            for text in map(bytes.lower, texts):
                 tally.add(0, text)
                 words.update(text.split())
                 if len(words) > 600_000:
@@ -97,7 +96,7 @@ def train(docs: DataFrame, where: Column, text: str = "text", order: int = 5, ma
     trie = ppm.fit(counts.where(F.col("model") == 0), 1, order, max_table_bytes, max_nodes)
     words = counts.where(F.col("model") == WORDS).select(F.col("key").alias("hash"), "cnt")
     n_words, distinct = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)), F.count("*")).first()
-    hot = words.orderBy(F.desc("cnt"), "hash").limit(hot_words).toArrow()
+    hot = words.where(F.col("cnt") >= top_cutoff(words, "cnt", hot_words)).toArrow()  # at most hot_words rows
     model = ByteModel(trie, hot.column(0).to_numpy().astype(np.int64), hot.column(1).to_numpy().astype(np.int64))
     return model, words, n_words, distinct, rows.count()
 
@@ -113,11 +112,9 @@ def score(docs: DataFrame, where: Column, columns: list[Column], text: str = "te
     def run(batches):
         model = shared.value
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            texts = [t.lower() for t in batch.column(batch.num_columns - 1).to_pylist()]
-            bits = np.zeros(len(texts))
-            for own in slices(texts, 4 << 20):
-                bits[own] = model.trie.bits([texts[i] for i in own])[:, 0]
+        for batch, texts in pieces(batches, "__text"):
+            texts = [t.lower() for t in texts]
+            bits = model.trie.bits(texts)[:, 0]
             n, known, base, rare, times = [], [], [], [], []
             look, seen = model.look, model._by_word.get
             for t in texts:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import top_cutoff
 from tidemark.runtime import materialise
 
 PAD, END = 0, 255
@@ -248,7 +249,8 @@ def fit(windows: DataFrame, models: int, order: int, max_table_bytes: int, max_n
     width = cuts.where("k = 0").select("key").distinct().count() + 1
     room = int(max(1, min(max_nodes, max_table_bytes // (4 * width * max(models, 1)))))
     contexts = cuts.groupBy("k", F.expr("shiftright(key, 8)").alias("ctx")).agg(F.sum("cnt").alias("total")).where("total > 1 OR k = 0")
-    kept = contexts.orderBy(F.desc("total"), "k", "ctx").limit(room).select(F.col("k").alias("kk"), "ctx")  # at most max_nodes rows
+    least = top_cutoff(contexts, "total", room)
+    kept = contexts.where((F.col("total") >= least) | (F.col("k") == 0)).select(F.col("k").alias("kk"), "ctx")  # at most max_nodes rows
     rows = cuts.join(F.broadcast(kept), (F.col("k") == F.col("kk")) & (F.expr("shiftright(key, 8)") == F.col("ctx"))).select("k", "model", "key", "cnt").toArrow()
     k, model, key, cnt = (rows.column(i).to_numpy() for i in range(4))
     by_length = []
@@ -259,4 +261,4 @@ def fit(windows: DataFrame, models: int, order: int, max_table_bytes: int, max_n
             own = own[np.argsort(key[own], kind="stable")]
             per.append((key[own].astype(np.int64), cnt[own].astype(np.int64)))
         by_length.append(per)
-    return Trie.freeze(by_length, room, 1)
+    return Trie.freeze(by_length, room + 1, 1)
