@@ -4,7 +4,8 @@ Each language has a tree of byte contexts of variable length, frozen after
 training, with escape probabilities and symbol exclusion (:mod:`ppm`).  A text
 is given the language under which its exact code length is least.  Training
 reads a bounded sample of labelled rows (``max_bytes`` of text a language, taken
-by hash, so that the same rows are taken on every run); prediction reads every
+by hash, so that the same rows are taken on every run; copies of a text count
+once); prediction reads every
 whole text, in one pass without a shuffle.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0;
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import ppm
-from tidemark.llm.common import as_bytes, slices
+from tidemark.llm.common import as_bytes, pieces, slices
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -64,7 +65,7 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
     share = F.create_map(*[F.lit(x) for lang_ in langs for x in (lang_, min(1.0, max_bytes / max(1, size[lang_])))])
     number = F.create_map(*[F.lit(x) for i, lang_ in enumerate(langs) for x in (lang_, i)])
     chosen = F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)
-    sample = rows.where(F.coalesce(chosen, F.lit(False))).select(number[F.col("lang")].alias("model"), as_bytes("text").alias("text"))
+    sample = rows.where(F.coalesce(chosen, F.lit(False))).select(number[F.col("lang")].alias("model"), as_bytes("text").alias("text")).distinct()
     windows = ppm.count_in_spark(sample, order)
     return LanguageModel(langs, ppm.fit(windows, len(langs), order, max_table_bytes, 1 << 15))
 
@@ -76,8 +77,8 @@ def identify(docs: DataFrame, model: LanguageModel, columns: list[Column], text:
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        for batch in batches:
-            langs, scores = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
+        for batch, texts in pieces(batches, "__text"):
+            langs, scores = shared.value.predict(texts)
             own = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores)], names=[*batch.schema.names[:-1], *schema.names])
 
