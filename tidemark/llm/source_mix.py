@@ -92,15 +92,19 @@ def _until(x: Column, n: Column, q: Column, u: Column, block: Column, length: Co
     return F.when((n == 0) | (q == 0), F.lit(0)).when(q >= n, x).otherwise(count * block + last).cast("long")
 
 
-def place(docs: DataFrame, columns: list[Column], text: str = "text", source: str = "source", id_column: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block: int | None = None, shard_words: int = 1 << 18) -> DataFrame:
+def place(docs: DataFrame, columns: list[Column], text: str = "text", source: str = "source", id_column: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block: int | None = None, shard_words: int = 1 << 18, heavy: bool = False) -> DataFrame:
     """``columns`` of every row with size, source_size, target, taken, and where in the shard it lies.
 
     ``block`` words make a block; without it, the largest power of two up to
     1024 of which the smallest positive target holds 256.  A shard holds about
-    ``shard_words`` words.
+    ``shard_words`` words.  With ``heavy``, ``columns`` stay out of all shuffles
+    but a last one, by row number, and only rows that are taken are returned.
     """
-    sizes = docs.select(*columns, F.col(id_column).alias("__id"), F.col(source).alias("source_key"), word_count(text).alias("size"))
-    sizes = materialise(sizes, "sizes")
+    names = docs.select(*columns).columns
+    sizes = docs.select(*columns, F.col(id_column).alias("__id"), F.col(source).alias("source_key"), word_count(text).alias("size"), F.monotonically_increasing_id().alias("__row"))
+    sizes = whole = materialise(sizes, "sizes")
+    if heavy:
+        sizes = whole.drop(*names)
     goals = targets(sizes.select(F.col("source_key").alias("source"), "size"), weights, share, most)
     fit = F.least(F.lit(1024.0), F.greatest(F.lit(1.0), F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy()) / 256))
     size_of_block = F.lit(float(block)) if block else F.pow(F.lit(2.0), F.floor(F.log2(fit)))
@@ -122,7 +126,8 @@ def place(docs: DataFrame, columns: list[Column], text: str = "text", source: st
         args = (F.col("n"), F.col(q), F.col("start_at"), F.col("block"), F.col("words"))
         return _until(F.col("end"), *args) - _until(F.col("start"), *args)
 
-    return row.withColumn("first_taken", chosen("once")).withColumn("second_taken", chosen("again")).withColumn("taken", F.col("first_taken") + F.col("second_taken"))
+    row = row.withColumn("first_taken", chosen("once")).withColumn("second_taken", chosen("again")).withColumn("taken", F.col("first_taken") + F.col("second_taken"))
+    return row.where("taken > 0").join(whole.select("__row", *names), "__row") if heavy else row
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
@@ -137,7 +142,7 @@ def take(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     its chosen words, with the white space after each.
     """
     whole = free_name(docs, "whole")
-    rows = place(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole)], text=text, **settings)
+    rows = place(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole)], text=text, heavy=True, **settings)
     passes = F.array(F.struct(F.col("once").alias("q"), F.col("first_taken").alias("k")), F.struct(F.col("again").alias("q"), F.col("second_taken").alias("k")))
     rows = rows.withColumn("pass", F.explode(passes)).where("pass.k > 0")
     words = F.regexp_extract_all(F.col(whole)[text], F.lit(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
