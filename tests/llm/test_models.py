@@ -112,6 +112,19 @@ def test_language_model_scores(spark, hot):
     assert max(better) < 0 and next(r for r in got if r["doc_id"] == 802)["score"] / 3 < min(better)
 
 
+@pytest.mark.parametrize("room", [1, 40, 400])
+def test_language_model_scores_with_all_contexts(spark, room):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abc d") for _ in range(rnd.randrange(150)))) for i in range(40)] + [(50, None), (51, "abc zzä abc"), (52, "Ab\0ba")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_score.score(df, F.col("doc_id") < 30, [F.col("doc_id")], max_nodes=room).collect()
+    lowered = {i: (t or "").lower().encode() for i, t in rows}
+    whole = ppm.Trie.freeze(ppm.shorter([ppm.count_windows([lowered[j] for j in range(30)], 5)], 5), 10**6, 2)
+    assert len(whole.lengths) > 400 * whole.width
+    expected = dict(zip(lowered, -math.log10(2) * whole.bits(list(lowered.values()))[:, 0], strict=True))
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(expected, rel=1e-5)
+
+
 def test_language_model_without_training_rows(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in lm_score.score(df, F.lit(False), [F.col("doc_id")]).collect()}

@@ -8,6 +8,11 @@ the probability of all 256 next bytes is worked out once, with escape method D
 excluded from shorter ones, so that the probabilities of a context add up to 1.
 Scoring then is one table lookup a byte.
 
+A model of all contexts seen twice or more needs more room than a trie has.  :func:`fit_whole`
+freezes its most frequent contexts and marks where longer ones, *cold* ones, were left
+out.  A byte whose context is cold isn't scored by the trie; its window is
+handed out, and :func:`cold_bits` works out its code length from the table of all windows.
+
 Every text is read as ``order`` bytes PAD, its own bytes, and END, neither of
 which occurs inside UTF-8 text that matters: PAD is NUL, END is 0xFF.
 """
@@ -25,6 +30,7 @@ from tidemark.llm.common import top_cutoff
 from tidemark.runtime import materialise
 
 PAD, END = 0, 255
+COLD = -(1 << 31)  # in place of a child: a context of the model that isn't in the trie
 STEP = 1 << 20
 
 
@@ -69,8 +75,8 @@ class Trie:
     for all others, which no context tells apart.  ``lengths[node * width + r]``
     holds the code length in bits under each model; ``child[node * width + r]``
     leads to the context that is one older byte longer, or, where that is not
-    kept, to -1 - node.  Contexts that have no longer ones come last and have no
-    row in ``child``.
+    kept, to -1 - node, or to COLD where it has to be looked up elsewhere.
+    Contexts that have no longer ones come last and have no row in ``child``.
     """
 
     def __init__(self, order: int, rank: np.ndarray, width: int, child: np.ndarray, lengths: np.ndarray):
@@ -78,13 +84,15 @@ class Trie:
         self.models = lengths.shape[1]
 
     @classmethod
-    def freeze(cls, by_length: list[list[tuple[np.ndarray, np.ndarray]]], max_nodes: int, min_count: int = 2) -> "Trie":
+    def freeze(cls, by_length: list[list[tuple[np.ndarray, np.ndarray]]], max_nodes: int, min_count: int = 2, cold: list[tuple[np.ndarray, np.ndarray]] | None = None) -> "Trie":
         """``by_length[k][model]``: windows of k context bytes and a symbol, and their counts (:func:`shorter`).
 
         ``max_nodes`` bounds the trie whatever the corpus holds: the most
         frequent contexts of any length are kept, of equally frequent ones the
         shorter.  A context is never more frequent than the one it extends, so
-        every kept context hangs below a kept one.
+        every kept context hangs below a kept one.  ``cold[k]``: kept contexts of
+        k bytes, and the older bytes that lead from them to contexts that are
+        left out but have to be marked.
         """
         order, counts = len(by_length) - 1, by_length[0]
         seen = np.zeros(256, bool)
@@ -103,28 +111,23 @@ class Trie:
         nodes = [contexts[k][0][fit[length[fit] == k] - offset[k]] for k in range(order + 1)]
         if not len(nodes[0]):
             nodes[0] = np.zeros(1, np.int64)
-        base = np.concatenate([[0], np.cumsum([len(x) for x in nodes])]).astype(np.int64)
+        base, parents = _tree(nodes)
         n = int(base[-1])
-        parents = np.zeros(n, np.int64)
         links = []
         for k in range(1, order + 1):
-            at = base[k - 1] + np.searchsorted(nodes[k - 1], nodes[k] & ((1 << (8 * (k - 1))) - 1))
-            own = base[k] + np.arange(len(nodes[k]))
-            parents[own] = at
-            links.append((at, rank[nodes[k] >> (8 * (k - 1))], own))
+            own = np.arange(base[k], base[k + 1])
+            links.append((parents[own], rank[nodes[k] >> (8 * (k - 1))], own))
         lengths = np.empty((n, width, len(counts)), np.float32)
         for m in range(len(counts)):
-            dense = np.zeros((n, width), np.float32)
-            for k in range(order + 1):
-                g, c = by_length[k][m]
-                if len(g) and len(nodes[k]):
-                    pos = np.minimum(np.searchsorted(nodes[k], g >> 8), len(nodes[k]) - 1)
-                    hit = nodes[k][pos] == g >> 8
-                    dense[base[k] + pos[hit], rank[g[hit] & 255]] = c[hit]
-            lengths[:, :, m] = _code_lengths(dense, parents, base)
+            lengths[:, :, m] = _code_lengths(_dense([per[m] for per in by_length], nodes, base, rank, width), parents, base)
+        marks = []
+        for k, (ctx, older) in enumerate(cold or []):
+            marks.append((base[k] + np.searchsorted(nodes[k], ctx), rank[older]))
         inner = np.zeros(n, bool)
         inner[0] = True
         inner[parents[1:]] = True
+        for at, _ in marks:
+            inner[at] = True
         order_of = np.argsort(~inner, kind="stable")  # inner contexts first
         place = np.empty(n, np.int64)
         place[order_of] = np.arange(n)
@@ -132,25 +135,43 @@ class Trie:
         child = np.repeat(-1 - np.arange(count, dtype=np.int32), width)
         for at, older, own in links:
             child[place[at] * width + older] = np.where(inner[own], place[own], -1 - place[own])
+        for at, older in marks:
+            child[place[at] * width + older] = COLD
         return cls(order, rank, width, child, lengths[order_of].reshape(n * width, len(counts)))
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Code length of each whole text with its END, in bits, under each model: (texts, models)."""
+    def bits(self, texts: list[bytes], cold: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """Code length of each whole text with its END, in bits, under each model: (texts, models).
+
+        Bytes with a cold context are left out; to ``cold``, pairs of arrays are
+        added: the number of the text and the window of each such byte.
+        """
         out = np.zeros((len(texts), self.models))
         if not texts:
             return out
         data, starts = buffer(texts, self.order)
-        data = self.rank[data]
+        raw, data = data, self.rank[data]
         for a in range(self.order, len(data), STEP):
             b = min(a + STEP, len(data))
             at = np.zeros(b - a, np.int64)
             for k in range(1, self.order + 1):
                 step = self.child[np.maximum(at, 0) * self.width + data[a - k : b - k]]
                 at = np.where(at >= 0, step, at)
+            out_of_trie = np.flatnonzero(at == COLD)
+            at[out_of_trie] = 0
             at = np.where(at >= 0, at, -1 - at)
             got = np.take(self.lengths, at * self.width + data[a:b], axis=0)
             first = int(np.searchsorted(starts, a, "right")) - 1
             last = int(np.searchsorted(starts, b, "left"))
+            if len(out_of_trie):
+                got[out_of_trie] = 0
+                place = out_of_trie + a
+                whose = np.searchsorted(starts, place, "right") - 1
+                real = place - starts[whose] >= self.order
+                place, whose = place[real], whose[real]
+                packed = np.zeros(len(place), np.int64)
+                for k in range(self.order + 1):
+                    packed |= raw[place - k].astype(np.int64) << (8 * k)
+                cold.append((whose, packed))
             for k in range(self.order):  # PAD positions carry no code
                 p = starts[first:last] + k - a
                 got[p[(p >= 0) & (p < b - a)]] = 0
@@ -158,6 +179,26 @@ class Trie:
         return out
 
 
+def _tree(nodes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the contexts of each length begin, and the number of each one's parent; ``nodes[k]`` are sorted."""
+    base = np.concatenate([[0], np.cumsum([len(x) for x in nodes])]).astype(np.int64)
+    parents = np.zeros(int(base[-1]), np.int64)
+    for k in range(1, len(nodes)):
+        parents[base[k] : base[k + 1]] = base[k - 1] + np.searchsorted(nodes[k - 1], nodes[k] & ((1 << (8 * (k - 1))) - 1))
+    return base, parents
+
+
+def _dense(windows: list[tuple[np.ndarray, np.ndarray]], nodes: list[np.ndarray], base: np.ndarray, rank: np.ndarray, width: int) -> np.ndarray:
+    """Counts of each (context, byte number) of one model."""
+    out = np.zeros((int(base[-1]), width), np.float32)
+    for k, (g, c) in enumerate(windows):
+        if len(g) and len(nodes[k]):
+            pos = np.minimum(np.searchsorted(nodes[k], g >> 8), len(nodes[k]) - 1)
+            hit = nodes[k][pos] == g >> 8
+            out[base[k] + pos[hit], rank[g[hit] & 255]] = c[hit]
+    return out
+
+
 def _code_lengths(counts: np.ndarray, parents: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Bits for each (context, byte number), contexts in order of length.
 
@@ -236,21 +277,20 @@ def count_in_spark(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInArrow(run, "model int, key long, cnt long").groupBy("model", "key").agg(F.sum("cnt").alias("cnt"))
 
 
-def fit(windows: DataFrame, models: int, order: int, max_table_bytes: int, max_nodes: int) -> Trie:
-    """Freeze a trie from ``(model, key, cnt)``.
-
-    Which contexts are kept is decided over all counts, in Spark; the driver
-    gets the symbols of at most ``max_nodes`` contexts, fewer where the table of
-    code lengths would pass ``max_table_bytes``.
-    """
+def _cuts(windows: DataFrame, order: int) -> DataFrame:
+    """``(k, model, key, cnt)``: the windows cut to k = 0, 1, ... ``order`` context bytes."""
     cut = F.expr("key & (shiftleft(1L, 8 * (k + 1)) - 1)")
     cuts = windows.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(order + 1)])))
-    cuts = materialise(cuts.groupBy("k", "model", cut.alias("key")).agg(F.sum("cnt").alias("cnt")), "windows")
+    return materialise(cuts.groupBy("k", "model", cut.alias("key")).agg(F.sum("cnt").alias("cnt")), "windows")
+
+
+def _fit(cuts: DataFrame, models: int, order: int, max_table_bytes: int, max_nodes: int, whole: bool) -> Trie:
     width = cuts.where("k = 0").select("key").distinct().count() + 1
     room = int(max(1, min(max_nodes, max_table_bytes // (4 * width * max(models, 1)))))
     contexts = cuts.groupBy("k", F.expr("shiftright(key, 8)").alias("ctx")).agg(F.sum("cnt").alias("total")).where("total > 1 OR k = 0")
     least = top_cutoff(contexts, "total", room)
-    kept = contexts.where((F.col("total") >= least) | (F.col("k") == 0)).select(F.col("k").alias("kk"), "ctx")  # at most max_nodes rows
+    hot = (F.col("total") >= least) | (F.col("k") == 0)
+    kept = contexts.where(hot).select(F.col("k").alias("kk"), "ctx")  # at most max_nodes rows
     rows = cuts.join(F.broadcast(kept), (F.col("k") == F.col("kk")) & (F.expr("shiftright(key, 8)") == F.col("ctx"))).select("k", "model", "key", "cnt").toArrow()
     k, model, key, cnt = (rows.column(i).to_numpy() for i in range(4))
     by_length = []
@@ -261,4 +301,97 @@ def fit(windows: DataFrame, models: int, order: int, max_table_bytes: int, max_n
             own = own[np.argsort(key[own], kind="stable")]
             per.append((key[own].astype(np.int64), cnt[own].astype(np.int64)))
         by_length.append(per)
-    return Trie.freeze(by_length, room + 1, 1)
+    return Trie.freeze(by_length, room + 1, 1, _cold_children(contexts.where(~hot), kept, order) if whole else None)
+
+
+def _cold_children(cold: DataFrame, kept: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the kept contexts with, one by one, the older bytes that lead to ``cold`` ones: at most 256 a kept context."""
+    up = F.expr("ctx & (shiftleft(1L, 8 * (k - 1)) - 1)")
+    below = cold.select((F.col("k") - 1).alias("k"), up.alias("up"), F.expr("shiftright(ctx, 8 * (k - 1))").cast("short").alias("older"))
+    found = below.join(F.broadcast(kept), (F.col("k") == F.col("kk")) & (F.col("up") == F.col("ctx"))).groupBy("k", "up").agg(F.collect_list("older").alias("older")).toArrow()
+    k, ctx, older = found.column(0).to_numpy(), found.column(1).to_numpy().astype(np.int64), found.column(2).combine_chunks()
+    times = older.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    k, ctx, older = np.repeat(k, times), np.repeat(ctx, times), older.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return [(ctx[k == length], older[k == length]) for length in range(order)]
+
+
+def fit(windows: DataFrame, models: int, order: int, max_table_bytes: int, max_nodes: int) -> Trie:
+    """Freeze a trie from ``(model, key, cnt)``.
+
+    Which contexts are kept is decided over all counts, in Spark; the driver
+    gets the symbols of at most ``max_nodes`` contexts, fewer where the table of
+    code lengths would pass ``max_table_bytes``.
+    """
+    return _fit(_cuts(windows, order), models, order, max_table_bytes, max_nodes, False)
+
+
+class Cold:
+    """What code lengths under cold contexts need beside the windows that end in the same ``head`` context bytes.
+
+    That is the counts of all windows with fewer context bytes, at most
+    256 ** 3 whatever the corpus holds.
+    """
+
+    def __init__(self, order: int, head: int, rank: np.ndarray, width: int, low: list[tuple[np.ndarray, np.ndarray]]):
+        self.order, self.head, self.rank, self.width, self.low = order, head, rank, width, low
+
+    def bits(self, keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Code lengths of the windows ``wanted``; ``keys`` are all windows of training text that share ``head`` context bytes with one."""
+        masks = [(1 << (8 * (k + 1))) - 1 for k in range(self.order + 1)]
+        windows = [*self.low, *(merge_counts([(keys & m, counts)]) for m in masks[self.head :])]
+        nodes = []
+        for k, (g, c) in enumerate(windows):
+            seen, total = merge_counts([(g >> 8, c)])
+            nodes.append(np.intersect1d((wanted & masks[k]) >> 8, seen[(total > 1) | (k == 0)]))
+        base, parents = _tree(nodes)
+        lengths = _code_lengths(_dense(windows, nodes, base, self.rank, self.width), parents, base)
+        at = np.zeros(len(wanted), np.int64)
+        for k in range(1, self.order + 1):
+            if len(nodes[k]):
+                own = (wanted & masks[k]) >> 8
+                pos = np.minimum(np.searchsorted(nodes[k], own), len(nodes[k]) - 1)
+                at = np.where(nodes[k][pos] == own, base[k] + pos, at)
+        return lengths[at, self.rank[wanted & 255]]
+
+
+def fit_whole(windows: DataFrame, order: int, max_table_bytes: int, max_nodes: int) -> tuple[Trie, Cold]:
+    """One model of all contexts that ``(model, key, cnt)`` has twice or more: a trie of the most frequent, bounded as in :func:`fit`, and what the others need."""
+    cuts = _cuts(windows, order)
+    trie = _fit(cuts, 1, order, max_table_bytes, max_nodes, True)
+    head = min(3, order)
+    rows = cuts.where(F.col("k") < head).select("k", "key", "cnt").orderBy("k", "key").toArrow()
+    k, key, cnt = (rows.column(i).to_numpy() for i in range(3))
+    return trie, Cold(order, head, trie.rank, trie.width, [(key[k == n], cnt[k == n]) for n in range(head)])
+
+
+def cold_bits(windows: DataFrame, wanted: DataFrame, cold: Cold, limit: int = 16_384) -> DataFrame:
+    """``(key, bits)`` for the distinct windows ``wanted`` (column key), from all of ``windows`` (key, cnt).
+
+    Both are dealt by the last ``head`` context bytes; a task holds about ``limit``
+    windows or those of one such group, at most 256 ** (order - head + 1).
+    """
+    shared = windows.sparkSession.sparkContext.broadcast(cold)
+    group = F.expr(f"shiftright(key, 8) & {(1 << (8 * cold.head)) - 1}")
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def given(group, key, cnt):
+            ask = cnt == 0
+            if ask.any():
+                near = ~ask & np.isin(group, group[ask])
+                yield pa.RecordBatch.from_arrays([pa.array(key[ask]), pa.array(shared.value.bits(key[near], cnt[near], key[ask]).astype(np.float64))], names=["key", "bits"])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, limit):
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.slice(a, limit).columns])
+                if sum(len(h[0]) for h in held) >= limit and held[0][0][0] != held[-1][0][-1]:
+                    parts = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    end = int(np.searchsorted(parts[0], parts[0][-1]))
+                    yield from given(*(p[:end] for p in parts))
+                    held = [[p[end:] for p in parts]]
+        if held:
+            yield from given(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    rows = windows.select(group.alias("g"), "key", "cnt").unionByName(wanted.select(group.alias("g"), "key", F.lit(0).cast("long").alias("cnt")))
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "key long, bits double")
