@@ -129,6 +129,12 @@ def test_apportionment_is_by_highest_quotients(spark, seed):
     assert got == expected
 
 
+def test_one_large_row_takes_all_seats_that_rounding_leaves(spark):
+    df = spark.createDataFrame([(0, 100_000.0, 355_754)] + [(i, 256.01, 355_754) for i in range(1, 1000)], "k int, v double, seats long")
+    got = {r["k"]: r["quota"] for r in source_mix.sainte_lague(df, ["k"], "v", "seats").collect()}
+    assert got == {0: 100_010} | dict.fromkeys(range(1, 1000), 256)
+
+
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 

@@ -52,15 +52,17 @@ def sainte_lague(shares: DataFrame, key: list[str], votes: str, seats: str, with
     """``shares`` with ``quota``: ``seats`` (a column, constant within a group) dealt to rows by highest quotients of ``votes``.
 
     A row whose exact share is s first gets round(s); as rounding leaves at most
-    half a seat a row over or short, only the next few quotients of each row
-    are then compared to hand out, or take back, the difference.  Of equal
+    half a seat a row over or short, the divisor moves so little that, of m rows,
+    one with share p of the votes moves by at most p * m / 2 + 1 seats; so many
+    quotients of each row are then compared to hand out, or take back, the difference.  Of equal
     quotients the one with the smaller key comes first.
     """
     group = W.partitionBy(*(within or []))
     exact = F.when(F.sum(votes).over(group) > 0, F.col(votes) * F.col(seats) / F.sum(votes).over(group)).otherwise(F.lit(0.0))
     first = shares.withColumn("__share", exact).withColumn("__first", F.floor(F.col("__share") + 0.5))
     first = first.withColumn("__over", F.when(F.sum(votes).over(group) > 0, F.col(seats)).otherwise(0) - F.sum("__first").over(group))
-    reach = F.ceil(F.abs(F.col("__over")) * F.col(votes) / F.greatest(F.sum(votes).over(group), F.lit(1e-300))) + 1
+    moves = F.ceil(F.count("*").over(group) / 2 * F.col(votes) / F.greatest(F.sum(votes).over(group), F.lit(1e-300))) + 2  # one more for rounding
+    reach = F.least(moves, F.abs(F.col("__over")))
     first = first.withColumn("__reach", F.when(F.col("__over") == 0, 0).when(F.col("__over") < 0, F.least(reach, F.col("__first"))).otherwise(reach).cast("int"))
     steps = first.where("__reach > 0").select(*key, votes, "__first", "__over", F.explode(F.sequence(F.lit(0), F.col("__reach") - 1)).alias("__i"), *[c for c in within or [] if c not in key])
     seat = F.when(F.col("__over") > 0, F.col("__first") + F.col("__i")).otherwise(F.col("__first") - 1 - F.col("__i"))
