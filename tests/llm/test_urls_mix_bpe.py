@@ -93,14 +93,38 @@ def test_mix_against_brute_force(spark):
     for settings_ in ({"shard_words": 300}, {"block": 64}, {"seed": 1}):
         other = run(df, **settings_)
         assert all(0 <= k <= 2 * size for _, size, _, _, k in other) and order(other) != order(got)
-    kept = source_mix.take(df).collect()
-    count = {}
-    for r in kept:
-        count[r["doc_id"]] = count.get(r["doc_id"], 0) + len(r["text"].split())
-    expected = {}
-    for i, _, _, _, k in got:
-        expected[i] = expected.get(i, 0) + k
-    assert count == {i: k for i, k in expected.items() if k} and source_mix.take(df).columns == df.columns
+
+
+def test_mix_takes_whole_documents(spark):
+    rows = mix_rows()
+    df = spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id long, text string, source string, size int, times string")
+    kept = source_mix.take(df)
+    assert kept.columns == df.columns
+    texts = {(i, t, s) for i, t, s in rows}
+    words, seen = {}, {}
+    for r in kept.collect():
+        one = (r["doc_id"], r["text"], r["source"])
+        assert one in texts and r["text"].split()
+        seen[one] = seen.get(one, 0) + 1
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    assert max(v / rows.count(k) for k, v in seen.items()) <= 2
+    _, targets = brute_targets(rows)
+    for s in ("a", "b", "é", None):  # z is mostly one document
+        assert abs(words[s] - targets[s]) <= 2 * 60 + 8
+
+
+def test_mix_spreads_a_crowd_of_null_ids(spark):
+    rows = [(None if i % 3 else 7, f"w{i % 5} " * (1 + i % 4), "a") for i in range(900)] + [(i, "x y", "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    placed = source_mix.Placed(df, [], shard_rows=50)
+    sizes = [r["count"] for r in placed.rows.groupBy("source", "shard", "part").count().collect()]
+    assert max(sizes) < 120 and sum(sizes) == len(rows)
+    run = lambda: sorted(map(str, source_mix.mix(df, shard_rows=50).collect()))
+    got = source_mix.mix(df, shard_rows=50).collect()
+    assert run() == run()
+    for source_size in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 8 and all(r["taken"] <= 2 * r["size"] for r in own)
 
 
 def test_mix_of_nothing(spark):
@@ -117,16 +141,49 @@ def highest_quotients(votes, seats):
     return got
 
 
+def quotas(spark, votes, seats, within=None):
+    rows = [(within and within[i], i, v, float(seats if within is None else seats[within[i]])) for i, v in votes.items()]
+    df = spark.createDataFrame(rows, "g string, k long, v double, seats double")
+    return {r["k"]: r["quota"] for r in source_mix.sainte_lague(df, ["k"], "v", "seats", within and "g").collect()}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_apportionment_is_by_highest_quotients(spark, seed):
     rnd = random.Random(seed)
     votes = {i: rnd.choice([rnd.uniform(0.01, 1), rnd.uniform(5, 90), 7.0]) for i in range(30)}
     seats = rnd.choice([1, 7, 100, 1234])
-    df = spark.createDataFrame([(i, v, float(seats)) for i, v in votes.items()], "k long, v double, seats double")
-    got = {r["k"]: r["quota"] for r in source_mix.sainte_lague(df, ["k"], "v", "seats").collect()}
-    expected = highest_quotients(votes, seats)
-    assert sum(got.values()) == seats
-    assert got == expected
+    got = quotas(spark, votes, seats)
+    assert sum(got.values()) == seats and got == highest_quotients(votes, seats)
+
+
+@pytest.mark.parametrize("large, small, n, seats", [(0.5, 0.0001, 5000, 100), (100_000.0, 256.01, 999, 1400), (1.0, 1.0, 800, 333), (3.0, 0.0, 40, 9), (1.0, 1e-9, 300, 301)])
+def test_apportionment_between_one_large_row_and_many_small_ones(spark, large, small, n, seats):
+    votes = {0: large} | dict.fromkeys(range(1, n + 1), small)
+    assert quotas(spark, votes, seats) == highest_quotients(votes, seats)
+
+
+def test_apportionment_within_groups(spark):
+    rnd = random.Random(3)
+    votes = {i: rnd.choice([0.0, 1.0, rnd.uniform(0, 1e-3), rnd.uniform(10, 1e6)]) for i in range(400)}
+    within = {i: rnd.choice(["a", "a", "b", None]) for i in votes}
+    seats = {"a": 500, "b": 3, None: 77}
+    got = quotas(spark, votes, seats, within)
+    for g, n in seats.items():
+        own = {i: v for i, v in votes.items() if within[i] == g}
+        assert {i: got[i] for i in own} == highest_quotients(own, n)
+
+
+def test_mix_sql_ranks_alike_with_null_ids_and_sources(spark):
+    import duckdb
+
+    from tidemark.llm.queries import OP5_SQL
+
+    rows = [(i if i != 6 else None, "w " * (i % 23), None if i % 7 == 0 else f"s{i % 4}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    db = duckdb.connect()
+    db.register("documents", frame.toArrow())
+    expected = sorted(map(str, db.execute(f"SELECT doc_id, size, source_size, round(target, 6), taken FROM ({OP5_SQL})").fetchall()))
+    assert sorted(str((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"])) for r in source_mix.mix(frame).collect()) == expected
 
 
 def test_one_large_row_takes_all_seats_that_rounding_leaves(spark):

@@ -43,6 +43,15 @@ def hash_share(column: Column, share: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
+#: A table of numbers of rows is broadcast up to so many of them (some 100 MB as a hash table); beyond, it is shuffled.
+MOST_BROADCAST = 1_500_000
+
+
+def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, a written table of few and narrow columns, to be broadcast if it has at most ``most`` rows; else to be merged."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def top_cutoff(df: DataFrame, column: str, most: int) -> float:
     """A value that at most ``most`` rows of ``df`` reach in a positive ``column``: as many as whole classes of like values allow.
 

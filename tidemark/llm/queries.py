@@ -107,16 +107,12 @@ def _part(what: str) -> str:
     return f"('0x' || substr(md5('42/' || {what}), 1, 12))::BIGINT / 281474976710656.0"
 
 
-def _until(x: str, q: str) -> str:
-    whole = f"floor({x} / block)"
-    passed = f"floor({{}} * {q} / n + u)"
-    chosen = passed.format(whole)
-    return f"CASE WHEN n = 0 OR {q} = 0 THEN 0 WHEN {q} >= n THEN {x} ELSE ({chosen} - floor(u)) * block + ({passed.format(f'({whole} + 1)')} - {chosen}) * ({x} - {whole} * block) END"
+#: An id's or a source's text in a hash; null has a text of its own.
+_ID = "coalesce(doc_id::VARCHAR, chr(0))"
 
-
-#: Blocks go to sources, and to shards of a source, by ranking all quotients.
+#: Blocks go to sources, and to shards of a source, by ranking every quotient that a row could need: as many as there are blocks.
 OP5_SQL = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 x AS (
@@ -124,23 +120,21 @@ x AS (
     / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 y AS (SELECT *, max(CASE WHEN w * level < cap THEN level END) OVER () AS rest FROM x),
 t AS (SELECT source, source_size, CASE WHEN w * level >= cap OR rest IS NULL THEN cap ELSE w * rest END AS target FROM y),
-b AS (SELECT *, coalesce(pow(2, floor(log2(least(1024.0, greatest(1.0, min(CASE WHEN target > 0 THEN target END) OVER () / 256))))), 1)::BIGINT AS block FROM t),
-g AS (SELECT *, round(sum(target) OVER () / block) AS seats, greatest(1, ceil(source_size / 262144))::BIGINT AS shards FROM b),
-gq AS (SELECT source, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS FIRST) AS r FROM g, unnest(range(0, (target / block)::BIGINT + 3)) AS z(k) WHERE target > 0),
+g AS (SELECT *, round(sum(target) OVER () / 8)::BIGINT AS seats, greatest(1, ceil(source_size / 262144))::BIGINT AS shards FROM t),
+gq AS (SELECT source, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS r FROM g, unnest(range(0, seats)) AS z(k) WHERE target > 0),
 gs AS (SELECT source, count(*) AS blocks FROM gq WHERE r <= seats GROUP BY 1),
 e AS (
-  SELECT doc_id, size, g.*, coalesce(blocks, 0) AS blocks, floor({_part("'shard/' || doc_id")} * shards)::BIGINT AS shard
+  SELECT doc_id, size, text, g.*, coalesce(blocks, 0) AS blocks, floor({_part(f"'shard/' || {_ID}")} * shards)::BIGINT AS shard
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN gs ON gs.source IS NOT DISTINCT FROM g.source),
-h AS (SELECT source, shard, blocks, block, sum(size) AS words FROM e GROUP BY ALL),
-hq AS (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY words / (2 * k + 1) DESC, shard) AS r FROM h, unnest(range(0, (2 * words / block)::BIGINT + 3)) AS z(k) WHERE words > 0),
+h AS (SELECT source, shard, blocks, sum(size) AS words FROM e GROUP BY ALL),
+hq AS (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY words / (2 * k + 1) DESC, shard) AS r FROM h, unnest(range(0, blocks)) AS z(k) WHERE words > 0),
 hs AS (SELECT source, shard, count(*) AS quota FROM hq WHERE r <= blocks GROUP BY ALL),
 o AS (
-  SELECT e.*, words, coalesce(quota, 0) AS quota, ceil(words / e.block)::BIGINT AS n, {_part("'start/' || e.source || '/' || e.shard")} AS u,
-    sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY {_part("'order/' || doc_id")}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+  SELECT e.*, words, 8 * coalesce(quota, 0) AS goal,
+    sum(size) OVER (PARTITION BY e.source, e.shard ORDER BY {_part(f"'order/' || {_ID}")}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
   FROM e JOIN h ON h.source IS NOT DISTINCT FROM e.source AND h.shard = e.shard LEFT JOIN hs ON hs.source IS NOT DISTINCT FROM e.source AND hs.shard = e.shard),
-v AS (SELECT *, stop - size AS start, least(quota, n) AS once, greatest(0, least(quota - n, n)) AS again FROM o)
-SELECT doc_id, size, source_size, target,
-  (({_until('stop', 'once')}) - ({_until('start', 'once')}) + ({_until('stop', 'again')}) - ({_until('start', 'again')}))::BIGINT AS taken FROM v"""
+v AS (SELECT *, stop - size AS start, least(goal, words) AS once, least(greatest(0, goal - words), words) AS again FROM o)
+SELECT doc_id, size, source_size, target, (least(stop, once) - least(start, once) + least(stop, again) - least(start, again))::BIGINT AS taken FROM v"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,19 +3,28 @@
 A source's share of the words of the mix is set by weights; it stops at a
 multiple of the source's size, and what is cut off is shared again by weight.
 The mix is dealt out in blocks of equally many words: blocks go to sources by
-highest quotients target / (2k + 1), then, the same way, to shards of a source,
-in which documents lie in a seeded order.  In a shard of n blocks, q are chosen
-at even distances from a seeded start; once q passes n every block is taken
-once and the rest are chosen for the second time.
+highest quotients target / (2k + 1), then, the same way, to shards of a source.
+Documents of a shard lie in a seeded order, which is cut into blocks; the first
+q blocks of a shard with quota q are taken, and once q passes the shard's
+blocks, all are and the first of them again.  So a shard's choice has one edge
+for each time it is gone through, and at most the document there is cut
+(:func:`mix`), or taken or left whole, by the side its middle lies on
+(:func:`take`).
 
 All of it is DataFrame expressions.  How much of a document is taken follows
 from its place in the shard in closed form, so blocks are never written out as
 rows; the only wide operations are one shuffle of (id, source, size) and small
-tables with a row a source or a shard.
+tables with a row a source or a shard.  Texts are shuffled only by
+:func:`take`, and only where the numbers of rows left out or doubled are too
+many to broadcast.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a
 source of its own, after all others; rows that repeat an id each count; if all
-sizes are 0, all targets are 0; an empty table gives an empty one.
+sizes are 0, all targets are 0; an empty table gives an empty one.  A document
+longer than a shard is a shard's only one, and no longer than any other to
+compute.  Rows of a shard that has over ``shard_rows`` of them (null and
+repeated ids go to one) are dealt again by their place in the table; then, and
+only then, another partitioning of the table gives another, equally large choice.
 """
 
 from __future__ import annotations
@@ -24,59 +33,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, word_count
-from tidemark.runtime import materialise
+from tidemark.llm.common import few, free_name, word_count
+from tidemark.runtime import materialise, release
+from tidemark.sources.tables import ROW, number_rows
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """``(source, source_size, target)``: sources by code point, null last, weigh ``weights``, repeating.
 
-    Sorted by size / weight, the sources that reach their limit of ``most``
-    sizes are a prefix: source i is at its limit if its weight's part of what
-    the sources before it leave is no less than the limit.
+    Sources are numbered by a distributed sort; each round of sharing is one
+    aggregation and sets at least one more source to its limit.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = (F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1) % len(weights)
-    per = per.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), place.cast("int") + 1))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_ratio = W.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("left", F.sum("source_size").over(W.partitionBy()) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    per = per.withColumn("level", F.col("left") / F.sum("w").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
-    per = per.withColumn("full", F.col("w") * F.col("level") >= F.col("cap"))
-    level = F.max(F.when(~F.col("full"), F.col("level"))).over(W.partitionBy())  # the first of the rest: later ones only fall
-    return per.select("source", "source_size", F.when(F.col("full") | level.isNull(), F.col("cap")).otherwise(F.col("w") * level).alias("target"))
-
-
-def sainte_lague(shares: DataFrame, key: list[str], votes: str, seats: str, within: list[str] | None = None) -> DataFrame:
+    per = number_rows(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.asc_nulls_last("source")))
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col(ROW) % len(weights)).cast("int") + 1)
+    per = materialise(per.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap")), "sources")
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, full = None, F.lit(False)
+    while True:
+        used, rest, over = per.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w"))), F.count_if(~full)).first()
+        if not over:
+            return per.select("source", "source_size", F.col("cap").alias("target"))
+        level = (total - (used or 0.0)) / rest
+        now = F.col("w") * F.lit(level) >= F.col("cap")
+        if not per.where(now & ~full).head(1):
+            return per.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("w") * F.lit(level)).alias("target"))
+        full = now
+
+
+def sainte_lague(shares: DataFrame, key: list[str], votes: str, seats: str, within: str | None = None) -> DataFrame:
     """``shares`` with ``quota``: ``seats`` (a column, constant within a group) dealt to rows by highest quotients of ``votes``.
 
-    A row whose exact share is s first gets round(s); as rounding leaves at most
-    half a seat a row over or short, the divisor moves so little that, of m rows,
-    one with share p of the votes moves by at most p * m / 2 + 1 seats; so many
-    quotients of each row are then compared to hand out, or take back, the difference.  Of equal
-    quotients the one with the smaller key comes first.
+    With V votes, N seats and m rows, a row of v votes has floor((v / q + 1) / 2)
+    quotients of q or more: more than v / 2q - 1/2, at most v / 2q + 1/2, and at
+    most v / q.  So fewer than N quotients exceed V / max(N, 2N - m) and at
+    least N exceed V / (2N + m), whatever the votes.  Those above are seats for sure; those
+    between, at most 3 m in all, are ranked.  Of equal quotients the
+    one with the smaller key comes first, null last.
     """
-    group = W.partitionBy(*(within or []))
-    exact = F.when(F.sum(votes).over(group) > 0, F.col(votes) * F.col(seats) / F.sum(votes).over(group)).otherwise(F.lit(0.0))
-    first = shares.withColumn("__share", exact).withColumn("__first", F.floor(F.col("__share") + 0.5))
-    first = first.withColumn("__over", F.when(F.sum(votes).over(group) > 0, F.col(seats)).otherwise(0) - F.sum("__first").over(group))
-    moves = F.ceil(F.count("*").over(group) / 2 * F.col(votes) / F.greatest(F.sum(votes).over(group), F.lit(1e-300))) + 2  # one more for rounding
-    reach = F.least(moves, F.abs(F.col("__over")))
-    first = first.withColumn("__reach", F.when(F.col("__over") == 0, 0).when(F.col("__over") < 0, F.least(reach, F.col("__first"))).otherwise(reach).cast("int"))
-    steps = first.where("__reach > 0").select(*key, votes, "__first", "__over", F.explode(F.sequence(F.lit(0), F.col("__reach") - 1)).alias("__i"), *[c for c in within or [] if c not in key])
-    seat = F.when(F.col("__over") > 0, F.col("__first") + F.col("__i")).otherwise(F.col("__first") - 1 - F.col("__i"))
-    quotient = F.col(votes) / (2 * seat + 1)
-    given = F.row_number().over(W.partitionBy(*(within or [])).orderBy(-quotient, *key))
-    taken_back = F.row_number().over(W.partitionBy(*(within or [])).orderBy(quotient, *[F.desc(k) for k in key]))
-    moved = steps.withColumn("__n", F.when(F.col("__over") > 0, given).otherwise(taken_back)).where(F.col("__n") <= F.abs(F.col("__over")))
-    moved = moved.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg((F.signum(F.first("__over")) * F.count("*")).alias("__more"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    out = first.join(moved, condition, "left")
-    return out.withColumn("quota", (F.col("__first") + F.coalesce("__more", F.lit(0))).cast("long")).drop("__share", "__first", "__over", "__reach", "__more", *[f"__{k}" for k in key])
+    v, n = F.col(votes), F.col(seats)
+    if within is None:
+        total, rows = shares.agg(F.sum(votes), F.count("*")).first()
+        known = shares.withColumn("__votes", F.lit(float(total or 0))).withColumn("__rows", F.lit(rows))
+    else:
+        per = shares.groupBy(F.col(within).alias("__group")).agg(F.sum(votes).alias("__votes"), F.count("*").alias("__rows"))
+        known = shares.join(per, F.col(within).eqNullSafe(F.col("__group"))).drop("__group")
+    low = F.col("__votes") / (2 * n + F.col("__rows")) * F.lit(1 - 1e-9)  # the margins are far above rounding
+    high = F.col("__votes") / F.greatest(n, 2 * n - F.col("__rows")) * F.lit(1 + 1e-9)
+    count = lambda q: F.when((n > 0) & (v > 0), F.floor((v / q + 1) / 2)).otherwise(0)
+    known = known.withColumn("__sure", count(high)).withColumn("__most", count(low)).drop("__votes", "__rows")
+    quotient = F.explode(F.sequence("__sure", F.col("__most") - 1)).alias("__k")
+    names = list(dict.fromkeys([*key, *([within] if within else [])]))
+    open_ = known.where("__most > __sure").select(*names, votes, seats, quotient).withColumn("__q", v / (2 * F.col("__k") + 1))
+    order = [F.desc("__q"), *[F.asc_nulls_last(k) for k in key]]
+    if within is None:
+        left = known.agg(F.max(seats) - F.sum("__sure")).first()[0] or 0
+        won = number_rows(open_.orderBy(*order)).where(F.col(ROW) < left)
+    else:
+        given = known.groupBy(F.col(within).alias("__group")).agg((F.max(seats) - F.sum("__sure")).alias("__left"))
+        ranked = open_.withColumn("__n", F.row_number().over(W.partitionBy(within).orderBy(*order)))
+        won = ranked.join(given, F.col(within).eqNullSafe(F.col("__group"))).where("__n <= __left")
+    won = won.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count("*").alias("__more"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = known.join(won, same, "left").withColumn("quota", (F.col("__sure") + F.coalesce("__more", F.lit(0))).cast("long"))
+    return out.drop("__sure", "__most", "__more", *[f"__{k}" for k in key])
 
 
 def _fraction(seed: int, *columns: Column) -> Column:
@@ -85,74 +106,63 @@ def _fraction(seed: int, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def _until(x: Column, n: Column, q: Column, u: Column, block: Column, length: Column) -> Column:
-    """Words chosen among the first ``x`` of a shard of ``length`` words and ``n`` blocks, ``q`` of them chosen (q <= n)."""
-    whole = F.floor(x / block)
-    passed = lambda j: F.floor(j * q / n + u)
-    count = passed(whole) - F.floor(u)
-    last = (passed(whole + 1) - passed(whole)) * (x - whole * block)
-    return F.when((n == 0) | (q == 0), F.lit(0)).when(q >= n, x).otherwise(count * block + last).cast("long")
+class Placed:
+    """Every row's place in the mix: ``whole`` is the table as written, ``rows`` its rows without texts, each with its shard's quota."""
+
+    def __init__(self, docs: DataFrame, columns: list[Column], text: str = "text", source: str = "source", id_column: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block: int = 8, shard_words: int = 1 << 18, shard_rows: int = 1 << 18):
+        names = docs.select(*columns).columns
+        row, ident, key, size, digest = (F.col(c) for c in ("__row", "__id", "__source", "__size", "__digest"))
+        self.whole = materialise(docs.select(*columns, F.col(id_column).alias("__id"), F.col(source).alias("__source"), word_count(text).alias("__size"), F.xxhash64(text).alias("__digest"), F.monotonically_increasing_id().alias("__row")), "sizes")
+        slim = self.whole.drop(*names)
+        goals = targets(slim.select(key.alias("source"), size.alias("size")), weights, share, most)
+        goals = goals.withColumn("seats", F.round(F.lit(float(goals.agg(F.sum("target")).first()[0] or 0)) / block))
+        goals = sainte_lague(goals, ["source"], "target", "seats").withColumnRenamed("quota", "blocks").drop("seats")
+        goals = goals.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
+        self.goals = goals = materialise(goals, "goals")
+        dealt = slim.join(goals, key.eqNullSafe(F.col("source")), "left").withColumn("shard", F.floor(_fraction(seed, F.lit("shard"), ident) * F.col("shards")).cast("long"))
+        # at most as many shards as rows / shard_rows have too many rows
+        crowded = dealt.groupBy(F.col("source").alias("c_source"), F.col("shard").alias("c_shard")).agg(F.ceil(F.count("*") / shard_rows).alias("parts")).where("parts > 1")
+        crowded = materialise(crowded, "crowded")
+        if crowded.head(1):
+            dealt = dealt.join(few(crowded), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("shard") == F.col("c_shard")), "left").drop("c_source", "c_shard")
+            part = F.pmod(F.xxhash64(row), F.coalesce("parts", F.lit(1)))
+        else:
+            part = F.lit(0)
+        dealt = dealt.withColumn("part", part.cast("long"))
+        shards = dealt.groupBy("source", "shard", "part", "blocks").agg(F.sum(size).cast("double").alias("words"))
+        quotas = sainte_lague(shards, ["source", "shard", "part"], "words", "blocks", "source")
+        quotas = quotas.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), F.col("part").alias("q_part"), "quota", F.col("words").cast("long").alias("words"))
+        dealt = dealt.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")) & (F.col("part") == F.col("q_part")), "left")
+        order = W.partitionBy("source", "shard", "part").orderBy(_fraction(seed, F.lit("order"), ident), ident, size, digest, row)
+        dealt = dealt.withColumn("end", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("start", F.col("end") - size)
+        quota = F.coalesce("quota", F.lit(0)) * block
+        self.rows = dealt.withColumn("first", F.least(quota, "words")).withColumn("second", F.least(F.greatest(F.lit(0), quota - F.col("words")), "words"))
 
 
-def place(docs: DataFrame, columns: list[Column], text: str = "text", source: str = "source", id_column: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, block: int | None = None, shard_words: int = 1 << 18, heavy: bool = False) -> DataFrame:
-    """``columns`` of every row with size, source_size, target, taken, and where in the shard it lies.
+def mix(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
+    """One row a document: id, size, source_size, target (its source's, in words) and taken (words the mix takes).
 
-    ``block`` words make a block; without it, the largest power of two up to
-    1024 of which the smallest positive target holds 256.  A shard holds about
-    ``shard_words`` words.  With ``heavy``, ``columns`` stay out of all shuffles
-    but a last one, by row number, and only rows that are taken are returned.
+    A shard takes its quota to the word, so of a document at an edge only the
+    words before it are taken.  ``block`` words make a block, about
+    ``shard_words`` words a shard.
     """
-    names = docs.select(*columns).columns
-    sizes = docs.select(*columns, F.col(id_column).alias("__id"), F.col(source).alias("source_key"), word_count(text).alias("size"), F.monotonically_increasing_id().alias("__row"))
-    sizes = whole = materialise(sizes, "sizes")
-    if heavy:
-        sizes = whole.drop(*names)
-    goals = targets(sizes.select(F.col("source_key").alias("source"), "size"), weights, share, most)
-    fit = F.least(F.lit(1024.0), F.greatest(F.lit(1.0), F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy()) / 256))
-    size_of_block = F.lit(float(block)) if block else F.pow(F.lit(2.0), F.floor(F.log2(fit)))
-    goals = goals.withColumn("block", F.coalesce(size_of_block, F.lit(1.0)).cast("long"))
-    goals = goals.withColumn("seats", F.round(F.sum("target").over(W.partitionBy()) / F.col("block")))
-    goals = sainte_lague(goals, ["source"], "target", "seats").withColumnRenamed("quota", "blocks").drop("seats")
-    goals = goals.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
-    goals = materialise(goals, "goals")
-    row = sizes.join(goals, F.col("source_key").eqNullSafe(F.col("source")), "left").withColumn("shard", F.floor(_fraction(seed, F.lit("shard"), F.col("__id")) * F.col("shards")).cast("long"))
-    shards = row.groupBy("source", "shard", "blocks").agg(F.sum("size").cast("double").alias("words"))
-    quotas = sainte_lague(shards, ["source", "shard"], "words", "blocks", ["source"]).select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "quota", F.col("words").cast("long").alias("words"))
-    row = row.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")), "left")
-    order = W.partitionBy("source", "shard").orderBy(_fraction(seed, F.lit("order"), F.col("__id")), "__id", "size")
-    row = row.withColumn("end", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
-    row = row.withColumn("n", F.ceil(F.col("words") / F.col("block")).cast("long")).withColumn("start_at", _fraction(seed, F.lit("start"), F.col("source"), F.col("shard")))
-    row = row.withColumn("again", F.greatest(F.lit(0), F.least(F.col("quota") - F.col("n"), F.col("n"))).cast("long")).withColumn("once", F.least("quota", "n").cast("long"))
-
-    def chosen(q: str) -> Column:
-        args = (F.col("n"), F.col(q), F.col("start_at"), F.col("block"), F.col("words"))
-        return _until(F.col("end"), *args) - _until(F.col("start"), *args)
-
-    row = row.withColumn("first_taken", chosen("once")).withColumn("second_taken", chosen("again")).withColumn("taken", F.col("first_taken") + F.col("second_taken"))
-    return row.where("taken > 0").join(whole.select("__row", *names), "__row") if heavy else row
-
-
-def mix(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
-    """One row a document: id, size, source_size, target (its source's, in words) and taken (words the mix takes)."""
-    return place(docs, [F.col(id_column).alias("__out_id")], id_column=id_column, **settings).select(F.col("__out_id").alias(id_column), "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    rows = Placed(docs, [], id_column=id_column, **settings).rows
+    taken = sum(F.least("end", q) - F.least("start", q) for q in ("first", "second"))
+    return rows.select(F.col("__id").alias(id_column), F.col("__size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.cast("long").alias("taken"))
 
 
-def take(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
-    """``docs`` as the mix holds them: a row for the first and for the second time a document is taken.
+def take(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` as the mix holds them: a row for each time a document is taken, always whole.
 
-    A document taken whole keeps its text; one that a block's edge cuts keeps
-    its chosen words, with the white space after each.
+    A document at an edge is taken if its middle lies before the edge, so a
+    shard differs from its quota by at most half a document each time.
     """
-    whole = free_name(docs, "whole")
-    rows = place(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole)], text=text, heavy=True, **settings)
-    passes = F.array(F.struct(F.col("once").alias("q"), F.col("first_taken").alias("k")), F.struct(F.col("again").alias("q"), F.col("second_taken").alias("k")))
-    rows = rows.withColumn("pass", F.explode(passes)).where("pass.k > 0")
-    words = F.regexp_extract_all(F.col(whole)[text], F.lit(r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-
-    def kept(word, i):
-        j = F.floor((F.col("start") + i) / F.col("block"))
-        return F.floor((j + 1) * F.col("pass.q") / F.col("n") + F.col("start_at")) > F.floor(j * F.col("pass.q") / F.col("n") + F.col("start_at"))
-
-    cut = F.array_join(F.filter(words, kept), "")
-    new = F.when(F.col("pass.k") == F.col("size"), F.col(whole)[text]).otherwise(cut)
-    return rows.select(*[(new if c == text else F.col(whole)[c]).alias(c) for c in docs.columns])
+    whole, times = free_name(docs, "whole"), free_name(docs, "times")
+    placed = Placed(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole)], **settings)
+    middle = F.col("start") + F.col("end")
+    count = sum(((F.col("__size") > 0) & (middle < 2 * F.col(q))).cast("int") for q in ("first", "second"))
+    decided = materialise(placed.rows.select("__row", count.alias(times)).where(F.col(times) != 1), "times")
+    release(placed.goals)
+    rows = placed.whole.join(few(decided), "__row", "left").withColumn(times, F.coalesce(times, F.lit(1))).where(F.col(times) > 0)
+    again = rows.select(whole, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return again.select(*[F.col(whole)[c].alias(c) for c in docs.columns])
