@@ -34,7 +34,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for the first and for the second time a document is taken, with the words that are taken."""
+    """The mix: a row for the first and for the second time a document is taken, always whole."""
     return source_mix.take(docs)
 
 
