@@ -156,3 +156,55 @@ def test_recall_is_what_was_asked_for():
     met = [(i, hy[0][i]) in visited if hx[i] <= hy[0][i] else (i, hx[i]) in back for i in range(len(x))]
     assert np.mean(met) > 0.94
     assert len(visited) < 0.8 * len(x) * 64
+
+
+def planted(n=3000, d=24, seed=2):
+    """Vectors of two labels; pairs from the threshold upwards, apart in any direction or in one half alone; a crowd that fills a cell."""
+    rng = np.random.default_rng(seed)
+    x = E.unit(rng.standard_normal((n, d)) + 0.6 * rng.standard_normal((1, d)))
+    wheres = [slice(None), slice(0, d // 2), slice(d // 2, None)]
+    pairs = [E._apart(x[i : i + 1], 0.9305 + 0.06 * rng.random() ** 2, rng, wheres[i % 3])[0] for i in range(0, n, 2)]
+    crowd = [E._apart(x[1:2], 0.97, rng, slice(None))[0] for _ in range(1500)]
+    rows = [*x, *pairs, *crowd]
+    labels = [*(i % 2 for i in range(n)), *(i % 2 for i in range(0, n, 2)), *[1] * len(crowd)]
+    return [(i, v.tolist(), k) for i, (v, k) in enumerate(zip(rows, labels, strict=True))]
+
+
+def test_recall_of_planted_links_with_the_settings_of_production(spark):
+    rows = planted()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()}
+    x, label = E.unit([r[1] for r in rows]), np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    expected = near.sum(1)
+    found = np.array([got[i][0] for i in range(len(rows))])
+    thin = expected <= 3  # outside the crowd, where most links are
+    assert (found <= expected).all() and found.sum() >= 0.95 * expected.sum() and found[thin].sum() >= 0.95 * expected[thin].sum() and expected[thin].sum() > 1500
+
+
+def test_blocks_of_a_cell_are_dealt_out_on_their_own(spark):
+    rows = [(i, [1.0, i / 1e4], "a") for i in range(200)]
+    classes = spark.createDataFrame([(i, 1, np.array(v, np.float64).tobytes(), k) for i, v, k in rows], "class long, times long, v binary, label string")
+    plan = E._meetings(classes, np.float64, 0.93, 0.97, 100, 1)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert any(all(f"{c}#" in line.split("hashpartitioning(")[1] for c in ("label", "size", "cell", "r", "w")) for line in dealt)
+    after = plan[: plan.index("hashpartitioning(")]
+    assert "FlatMapGroupsInArrow" in after and "Exchange" in after and "Join" not in after
+
+
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(E, "INDEXED", 2)
+    monkeypatch.setattr(E, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = []
+    for size, n in ((1, 9), (3, 60), (4, 50), (5, 40), (700, 5)):
+        x = rng.standard_normal((n, size))
+        x[n // 2 :] = x[: n - n // 2] * 2 + 0.01 * rng.standard_normal((n - n // 2, size))
+        rows += [(len(rows) + i, v.tolist(), "a") for i, v in enumerate(x)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), recall=0.999).collect()}
+    expected = {}
+    for size in {len(r[1]) for r in rows}:
+        expected |= brute([r for r in rows if len(r[1]) == size])
+    assert sum(x[0] for x in got.values()) >= 0.98 * sum(x[0] for x in expected.values())
+    rest = [i for i, v, _ in rows if len(v) not in (3, 4)]  # compared with all
+    assert [got[i] for i in rest] == [expected[i] for i in rest]

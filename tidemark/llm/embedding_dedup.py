@@ -10,6 +10,8 @@ whole space or of one half alone, must meet with the wanted recall.  A pair
 meets where the vector in the lower-numbered cell visits the other's cell, so
 every pair is looked at once.  In a cell all similarities are then worked out
 exactly, in double precision, so no pair below the threshold is ever linked.
+Codebooks are fitted on about ``sample`` vectors, or 8 a codeword where that is
+more; every vector is indexed.
 
 Equal vectors are one class with a count.  Cells with many vectors are split
 into blocks of bounded size, every block of visitors meeting every block of
@@ -27,17 +29,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hash_share
-from tidemark.operators.components import connected_components
+from tidemark.llm.common import few, hash_share
+from tidemark.operators.components import connected_components, look_up
 from tidemark.runtime import materialise
 
 BLOCK = 1024  # residents of a cell in one task
 VISITORS = 4096  # visitors of a cell in one task
+CELL = 64  # vectors of a label to a cell of the grid, so that the codebooks grow with the root of the data
+INDEXED = 64  # vector lengths that get an index; vectors of other lengths share one cell a length and label, in blocks
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -48,8 +53,9 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def _codebook(half: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15) -> np.ndarray:
     centres = half[rng.choice(len(half), k, replace=len(half) < k)].copy()
+    step = max(1, (1 << 24) // k)
     for _ in range(rounds):
-        near = _squares(half, centres).argmin(1)
+        near = np.concatenate([_squares(half[a : a + step], centres).argmin(1) for a in range(0, len(half), step)])
         n = np.bincount(near, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, half)
@@ -72,6 +78,7 @@ class MultiIndex:
 
     @classmethod
     def fit(cls, sample: np.ndarray, k: int, threshold: float, recall: float, seed: int = 11) -> "MultiIndex":
+        """``k`` codewords a half, at most one a vector of ``sample``; needs some 50 vectors to calibrate on."""
         rng = np.random.default_rng(seed)
         cut = sample.shape[1] // 2
         index = cls(_codebook(sample[:, :cut], k, rng), _codebook(sample[:, cut:], k, rng))
@@ -157,75 +164,94 @@ def link(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.97, id_c
             for known, e in zip(labels, batch.column(2).to_pylist(), strict=True):
                 x = np.array(e, kind) if known and e and None not in e else None
                 out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(out))), batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["row", "id", "label", "v"])
+            digests = [v and xxhash.xxh128_digest(v) for v in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(out))), batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(digests, pa.binary())], names=shape.names)
             at += len(out)
 
-    shape = T.StructType().add("row", "long").add("id", "long").add("label", whole.schema["label"].dataType).add("v", "binary")
-    rows = materialise(whole.mapInArrow(pack, shape), "vectors")
-    classes = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("row").alias("class"), F.count("*").alias("times"), F.min("id").alias("low"))
+    shape = T.StructType().add("row", "long").add("id", "long").add("label", whole.schema["label"].dataType).add("v", "binary").add("digest", "binary")
+    packed = whole.mapInArrow(pack, shape)
+    # what names a class: the label and 128 bits of its vector
+    rows = materialise(packed.withColumn("key", F.concat_ws("/", F.hex("digest"), F.col("label").cast("string"))).drop("digest"), "vectors")
+    valid = rows.where("v IS NOT NULL")
+    classes = valid.groupBy("label", "v", "key").agg(F.min("row").alias("class"), F.count("*").alias("times"), F.min("id").alias("low"))
     classes = materialise(classes, "classes")
-    n, labels = classes.agg(F.count("*"), F.count_distinct("label")).first()
-    links = None
-    for size in [r[0] for r in classes.select(F.octet_length("v")).distinct().collect()]:
-        own = classes.where(F.octet_length("v") == size)
-        got = _meetings(own, n / max(labels, 1), n, kind, threshold, recall, sample, seed)
-        links = got if links is None else links.unionByName(got)
-    out = rows.select("row", "id", "label", "v")
-    if links is None:
-        return out.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    links = materialise(links, "meetings")
+    links = materialise(_meetings(classes, kind, threshold, recall, sample, seed), "meetings")
     comps = connected_components(links.where("class <> root"), "class", "root")
     counts = links.groupBy("class").agg(F.sum("n").alias("n"))
-    named = classes.drop("label", "v").join(counts, "class", "left").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lows = named.groupBy("component").agg(F.min("low").alias("least"))
-    named = named.join(lows, "component").select("class", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "least")
-    by_vector = classes.select("class", "label", "v")
-    member = out.where("v IS NOT NULL").join(by_vector, ["label", "v"]).select("row", "id", "class").join(named, "class")
-    linked = member.select("id", "n_links", "least")
-    alone = out.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("least"))
+    named = classes.drop("label", "v").join(counts, "class", "left").join(comps.withColumnRenamed("node", "class"), "class", "left")
+    named = materialise(named.withColumn("component", F.coalesce("component", "class")), "named")
+    lows = named.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("members"))
+    named = look_up(named, lows, "component", "members", named.count())
+    named = materialise(named.select("key", "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "least"), "named")
+    linked = look_up(valid.select("id", "key"), named, "key", "times", valid.count()).select("id", "n_links", "least")
+    alone = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("least"))
     every = linked.unionByName(alone)
     return every.select(F.col("id").alias(id_column), "n_links", F.col("least").alias("component_id"), F.coalesce(F.col("id") == F.col("least"), F.lit(False)).alias("kept"))
 
 
-def _meetings(classes: DataFrame, per_label: float, n: int, kind, threshold: float, recall: float, sample: int, seed: int) -> DataFrame:
+def _indexes(classes: DataFrame, kind, threshold: float, recall: float, sample: int, seed: int) -> dict[int, MultiIndex]:
+    """An index for each vector length (in bytes) that has more than a block of vectors a label, of the INDEXED most frequent."""
+    per = classes.groupBy("label", F.octet_length("v").alias("size")).count().groupBy("size").agg(F.sum("count").alias("n"), F.count("*").alias("labels"))
+    frequent = [r for r in per.orderBy(F.desc("n"), "size").limit(INDEXED).collect() if r["n"] > BLOCK * r["labels"]]
+    want = {r["size"]: max(1, round(math.sqrt(r["n"] / r["labels"] / CELL))) for r in frequent}
+    chosen = F.lit(False)
+    for r in frequent:
+        chosen = chosen | ((F.octet_length("v") == r["size"]) & hash_share(F.col("class"), max(sample, 8 * want[r["size"]]) / r["n"], seed))
+    some = classes.where(chosen).select("class", "v").toArrow()
+    found: dict[int, list] = {}
+    for c, v in sorted(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)):
+        found.setdefault(len(v), []).append(v)
+    return {size: MultiIndex.fit(_wide(unit(np.frombuffer(b"".join(v), kind).reshape(len(v), -1))), min(want[size], len(v)), threshold, recall, seed) for size, v in found.items()}
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    """``x`` with two components at least, so that it has halves."""
+    return x if x.shape[1] > 1 else np.concatenate([x, np.zeros_like(x)], 1)
+
+
+def _meetings(classes: DataFrame, kind, threshold: float, recall: float, sample: int, seed: int) -> DataFrame:
     """``(class, n, root)``: links found in each block."""
-    some = classes.where(hash_share(F.col("class"), sample / max(n, 1), seed)).select("class", "v").toArrow()
-    if not some.num_rows:
-        some = classes.orderBy("class").limit(1000).select("class", "v").toArrow()
-    order = np.argsort(some.column(0).to_numpy())
-    known = unit(np.frombuffer(b"".join(some.column(1).to_pylist()), kind).reshape(some.num_rows, -1)[order])
-    if known.shape[1] < 2:
-        known = np.concatenate([known, np.zeros_like(known)], 1)
-    k = int(np.clip(round(math.sqrt(per_label / 64)), 1, min(512, len(known))))
-    shared = classes.sparkSession.sparkContext.broadcast(MultiIndex.fit(known, k, threshold, recall, seed))
+    shared = classes.sparkSession.sparkContext.broadcast(_indexes(classes, kind, threshold, recall, sample, seed))
     label_type = classes.schema["label"].dataType
-    shape = T.StructType().add("label", label_type).add("cell", "long").add("visit", "boolean").add("home", "boolean").add("class", "long").add("times", "long").add("v", "binary")
+    shape = T.StructType().add("label", label_type).add("size", "integer").add("cell", "long").add("visit", "boolean").add("home", "boolean").add("class", "long").add("times", "long").add("v", "binary")
+
+    def visits(index: MultiIndex | None, x: np.ndarray):
+        if index is None:  # one cell for all
+            return np.zeros(len(x), np.int64), np.arange(len(x)), np.zeros(len(x), np.int64)
+        parts, step = [], max(1, (1 << 20) // index.k)
+        for a in range(0, len(x), step):
+            home, at, cells = index.visits(_wide(unit(x[a : a + step])))
+            parts.append((home, at + a, cells))
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
     def visit(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                x = unit(np.frombuffer(b"".join(part.column(3).to_pylist()), kind).reshape(part.num_rows, -1))
-                if x.shape[1] < 2:
-                    x = np.concatenate([x, np.zeros_like(x)], 1)
-                home, at, cells = shared.value.visits(x)
-                at, cells = np.concatenate([np.arange(len(x)), at]), np.concatenate([home, cells])
-                visits = np.arange(len(at)) >= len(x)
-                own = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(cells), pa.array(visits), pa.array(home[at] == cells), own.column(1), own.column(2), own.column(3)], names=shape.names)
+                vectors = part.column(3).to_pylist()
+                sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+                for size in np.unique(sizes).tolist():
+                    rows = np.flatnonzero(sizes == size)
+                    x = np.frombuffer(b"".join(vectors[i] for i in rows), kind).reshape(len(rows), -1)
+                    home, at, cells = visits(shared.value.get(size), x)
+                    at, cells = np.concatenate([np.arange(len(x)), at]), np.concatenate([home, cells])
+                    own = part.take(pa.array(rows[at]))
+                    made = [pa.array(np.full(len(at), size, np.int32)), pa.array(cells), pa.array(np.arange(len(at)) >= len(x)), pa.array(home[at] == cells)]
+                    yield pa.RecordBatch.from_arrays([own.column(0), *made, *own.columns[1:]], names=shape.names)
 
     seen = classes.select("label", "class", "times", "v").mapInArrow(visit, shape)
-    sizes = seen.groupBy("label", "cell").agg(
+    cell = ["label", "size", "cell"]
+    sizes = seen.groupBy(*cell).agg(
         F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("visit")) / BLOCK)).cast("int").alias("r_blocks"),
         F.greatest(F.lit(1), F.ceil(F.count_if("visit") / VISITORS)).cast("int").alias("v_blocks"),
         F.count_if(~F.col("visit")).alias("residents"),
     )
-    sizes = sizes.where("residents > 0").select(F.col("label").alias("l"), F.col("cell").alias("c"), "r_blocks", "v_blocks")
-    dealt = seen.join(sizes, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c")))
+    sizes = materialise(sizes.where("residents > 0").drop("residents"), "cells")
+    dealt = seen.join(few(sizes), cell)
     mine = F.pmod(F.xxhash64("class"), F.when(F.col("visit"), F.col("v_blocks")).otherwise(F.col("r_blocks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("visit"), F.col("r_blocks")).otherwise(F.col("v_blocks")) - 1))
     dealt = dealt.withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.select("label", "cell", F.when(F.col("visit"), F.col("other")).otherwise(F.col("mine")).alias("r"), F.when(F.col("visit"), F.col("mine")).otherwise(F.col("other")).alias("w"), "visit", "home", "class", "times", "v")
+    dealt = dealt.select(*cell, F.when(F.col("visit"), F.col("other")).otherwise(F.col("mine")).alias("r"), F.when(F.col("visit"), F.col("mine")).otherwise(F.col("other")).alias("w"), "visit", "home", "class", "times", "v")
 
     def block(table: pa.Table) -> pa.Table:
         visits = table.column("visit").to_numpy()
@@ -235,4 +261,6 @@ def _meetings(classes: DataFrame, per_label: float, n: int, kind, threshold: flo
         found = meet(x[r], cls[r], times[r], x[w], cls[w], times[w], home[w], threshold) if len(r) and len(w) else [np.zeros(0, np.int64)] * 3
         return pa.table({"class": found[0], "n": found[1], "root": found[2]})
 
-    return dealt.groupBy("label", "cell", "r", "w").applyInArrow(block, "class long, n long, root long")
+    # dealt by block, not by cell: otherwise a join by cell would do for the grouping, and a crowded cell stay in one task
+    blocks = [*cell, "r", "w"]
+    return dealt.repartition(*blocks).groupBy(*blocks).applyInArrow(block, "class long, n long, root long")
