@@ -21,6 +21,8 @@ empty one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -31,13 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import as_bytes, free_name, pieces
-from tidemark.operators.components import connected_components
+from tidemark.llm.common import as_bytes, few, free_name, pieces
+from tidemark.operators.components import connected_components, look_up
 from tidemark.runtime import materialise
 
 BITS = 64
 TABLE_BITS = 16  # histograms look at so many bits of a partition
 CHUNK = 1 << 16
+PROBES = 1 << 16  # in one batch
 
 
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
@@ -153,6 +156,7 @@ def _choose(n: float, k: int) -> float:
     return out
 
 
+@lru_cache(maxsize=64)
 def ball(width: int, radius: int) -> np.ndarray:
     """All numbers of ``width`` bits with at most ``radius`` bits set."""
     out = [0]
@@ -209,21 +213,23 @@ class Plan:
             left = left - out[:, i]
         return out - 1
 
-    def index(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sigs = [(np.int64(i) << 32) | _project(fps, own) for i, own in enumerate(self.places)]
-        return np.concatenate(sigs), np.tile(fps, len(sigs))
-
-    def probes(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        values = [_project(fps, own) for own in self.places]
-        limits = self.thresholds(values)
-        sigs, whose = [], []
-        for i, (own, v) in enumerate(zip(self.places, values, strict=True)):
-            for t in range(self.radius + 1):
-                at = np.flatnonzero(limits[:, i] == t)
-                masks = ball(len(own), t)
-                sigs.append(((np.int64(i) << 32) | (v[at, None] ^ masks)).ravel())
-                whose.append(np.repeat(fps[at], len(masks)))
-        return np.concatenate(sigs), np.concatenate(whose)
+    def index(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, own in enumerate(self.places):
+            yield (np.int64(i) << 32) | _project(fps, own), fps
+
+    def probes(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Signatures to look up and the fingerprints they are for, at most PROBES (or one fingerprint's of one partition) at a time."""
+        for a in range(0, len(fps), 4096):
+            some = fps[a : a + 4096]
+            values = [_project(some, own) for own in self.places]
+            limits = self.thresholds(values)
+            for i, (own, v) in enumerate(zip(self.places, values, strict=True)):
+                for t in range(self.radius + 1):
+                    at, masks = np.flatnonzero(limits[:, i] == t), ball(len(own), t)
+                    step = max(1, PROBES // len(masks))
+                    for b in range(0, len(at), step):
+                        part = at[b : b + step]
+                        yield ((np.int64(i) << 32) | (v[part, None] ^ masks)).ravel(), np.repeat(some[part], len(masks))
 
 
 def plan(fps: DataFrame, n: int, radius: int) -> Plan:
@@ -258,8 +264,7 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
         def run(batches):
             for batch in batches:
                 values = batch.column(0).to_numpy(zero_copy_only=False)
-                for a in range(0, len(values), 4096):
-                    sigs, own = getattr(shared.value, which)(values[a : a + 4096])
+                for sigs, own in getattr(shared.value, which)(values):
                     yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(own)], names=["sig", "fp"])
 
         return run
@@ -271,19 +276,19 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def _groups(slim: DataFrame, radius: int, least: Column) -> DataFrame:
-    """``(fp, component, least)`` for every distinct ``fp`` of ``slim``; ``least`` is aggregated over the component."""
-    distinct = materialise(slim.groupBy("fp").agg(least.alias("low")), "fingerprints")
+    """``(fp, component, least, n)`` for every distinct ``fp`` of ``slim``, on n rows; ``least`` is aggregated over the component."""
+    distinct = materialise(slim.groupBy("fp").agg(least.alias("low"), F.count("*").alias("n")), "fingerprints")
     comps = connected_components(near_links(distinct.select("fp"), radius), "a", "b")
-    named = distinct.join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp"), "low")
-    lows = named.groupBy("comp").agg(F.min("low").alias("least"))
-    return named.join(lows, "comp").select("fp", "comp", "least")
+    named = materialise(distinct.join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp"), "low", "n"), "named")
+    lows = named.groupBy("comp").agg(F.min("low").alias("least"), F.count("*").alias("members"))
+    return look_up(named, lows, "comp", "members", named.count()).select("fp", "comp", "least", "n")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
     """One row a document: its id, fingerprint (16 hex digits) and component_id (the component's smallest id)."""
     slim = materialise(fingerprints(docs, [F.col(id_column).alias("id")], "fp", text), "simhash")
-    groups = _groups(slim, radius, F.min("id"))
-    return slim.join(groups, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    groups = materialise(_groups(slim, radius, F.min("id")), "groups")
+    return look_up(slim, groups, "fp", "n", slim.count()).select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
@@ -298,4 +303,5 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rad
     slim = kept.select(F.col(fp).alias("fp"), key.alias("key"))
     groups = _groups(slim, radius, F.min("key"))
     chosen = groups.select(F.col("least.row").alias(row)).distinct()
-    return kept.join(chosen, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = materialise(kept.select(row).join(chosen, row, "left_anti"), "gone")
+    return kept.join(few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
