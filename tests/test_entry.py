@@ -1,4 +1,5 @@
 import os
+import sys
 
 import pytest
 
@@ -19,6 +20,15 @@ def test_every_oracle_has_its_query():
     assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
+@pytest.mark.parametrize("absent", ["tidemark.llm", "tidemark.llm.queries", "xxhash"])
+def test_own_queries_stay_without_the_pipeline_operators(monkeypatch, absent):
+    for name in [m for m in sys.modules if m.startswith("tidemark.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, absent, None)
+    assert "missing_values" in entry.queries() and not any(n.startswith("op") and n[2].isdigit() for n in entry.queries())
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", COMPARED)
 def test_queries_equal_their_sql(spark, name):

@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,14 @@ def test_full_match_follows_python(spark):
     assert out(df, cells.full_match(F.col("v"), r"(?P<n>10)\.1/a\Z")) == [True, False, False, False, None]
 
 
+def test_lines_end_as_in_python(spark):
+    patterns = ["a.b", "a.*", ".", "a$", "a.$", "^a.b$", r"a\sb", r"a[^x]b", r"(a|b).?", r"\w.\w", "a\nb", r"a.b\n?"]
+    texts = [f"a{c}b" for c in ("\r", "\n", "\r\n", "\x85", "\u2028", "\u2029", "\x0b", "\x0c", "x", "")] + ["a\n", "a\r", "a\x85", "\u2028", "\r", "\n", "", "ab\n", "a.b\n"]
+    df = column(spark, texts)
+    for p in patterns:
+        assert out(df, cells.full_match(F.col("v"), p)) == [re.fullmatch(p, t) is not None for t in texts], p
+
+
 def test_rules_are_three_valued(spark):
     values = [True, False, None]
     cell = {True: 1, False: 0, None: None}

@@ -97,7 +97,8 @@ def python_pattern(pattern: str) -> str | None:
     unicode_classes = {r"\d", r"\s", r"\w", r"\D", r"\S", r"\W", r"\b", r"\B"}
     if risky and risky.group() not in unicode_classes:
         return None
-    flag = "(?U)" if re.search(r"\\[bBwWdDsS]", pattern) else ""
+    # Unix lines: the only line end that "." stops at and "$" looks behind is \n, as in Python
+    flag = "(?dU)" if re.search(r"\\[bBwWdDsS]", pattern) else "(?d)"
     return rf"{flag}\A(?:{pattern})\z"
 
 

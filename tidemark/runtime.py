@@ -3,7 +3,10 @@
 Executors and the driver share no local folder, so everything that has to
 outlive a stage is written under the folder the session names in
 ``spark.checkpoint.dir``.  A private temporary folder is used only where that
-setting is absent (local runs and tests).
+setting is absent and all executors are on this machine (local runs and tests).
+
+Results are lazy, so a table has to last until its caller has read what was made from it:
+within :func:`scope` until that is left, else until the process ends.
 """
 
 from __future__ import annotations
@@ -13,11 +16,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own_dir: str | None = None
+_scopes: list[dict[str, SparkSession]] = [{}]  # tables made and not yet deleted, by path; the first is the process's
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set {SETTING} to a folder that driver and executors share; master is {master}")
     if _own_dir is None or not os.path.isdir(_own_dir):
         _own_dir = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -41,21 +50,51 @@ def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    _scopes[-1][path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise`, once nothing reads it."""
     path = getattr(df, "_tidemark_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+    for made in _scopes:
+        if spark := made.pop(path, None):
+            _delete(spark, path)
+
+
+@contextmanager
+def scope(keep: tuple[DataFrame, ...] | list[DataFrame] = ()) -> Iterator[None]:
+    """Delete, on leaving, the tables made inside; those in ``keep`` (a list may be filled inside) pass to the scope around."""
+    _scopes.append({})
+    try:
+        yield
+    finally:
+        made, kept = _scopes.pop(), {getattr(df, "_tidemark_path", None) for df in keep}
+        for path, spark in made.items():
+            if path in kept:
+                _scopes[-1][path] = spark
+            else:
+                _delete(spark, path)
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete what is left when the process ends, as far as its Spark still runs."""
+    for made in _scopes:
+        for path, spark in made.items():
+            try:
+                _delete(spark, path)
+            except Exception:  # noqa: BLE001  the session is gone: nothing more can be done here
+                return
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
