@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import byte_bpe, quality_classifier, quality_rules, simhash_dedup, source_mix
 from tidemark.llm.common import fold
-from tidemark.runtime import materialise
+from tidemark.runtime import materialise, release, scope
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = docs
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
+        with scope(kept := []):
+            docs = materialise(stage(spark, docs, sf_dir), "stage")
+            kept.append(docs)
+        release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
