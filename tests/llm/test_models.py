@@ -194,26 +194,93 @@ def test_repeats_with_many_different_words():
     assert R.repeated_words(own + own[100:105]) == 10 and R.repeated_words(own) == 0 and R.repeated_words([b"a"] * 6) == 6
 
 
-def test_binomial_bounds():
-    exact = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-    for k, n, p in ((0, 10, 0.1), (3, 40, 0.05), (7, 9, 0.5)):
-        assert R.binomial_tail(k, n, p) == pytest.approx(exact(k, n, p))
-        assert exact(k, n, R.upper_bound(k, n, 0.05)) == pytest.approx(0.05)
-    assert R.binomial_tail(4, 4, 0.3) == 1 == R.upper_bound(4, 4, 0.1)
+def exact_tail(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_binomial_tails():
+    for k, n, p in ((0, 10, 0.1), (3, 40, 0.05), (7, 9, 0.5), (4, 4, 0.3)):
+        assert R.binomial_tail(k, n, p) == pytest.approx(exact_tail(k, n, p))
+    for alpha, level in ((0.03, 0.05 / 3), (0.1, 0.01)):
+        n = R.least_rows(alpha, level)
+        assert exact_tail(0, n, alpha) <= level < exact_tail(0, n - 1, alpha)
+
+
+@pytest.mark.parametrize("n,least,groups", [([200, 300, 150], 134, [0, 1, 2]), ([50, 300, 150], 134, [0, 0, 1]), ([200, 40, 30], 134, [0, 0, 0]), ([200, 300, 10], 134, [0, 1, 1]), ([50, 60, 40], 134, [0, 0, 0]), ([1, 2, 3], 134, [0, 0, 0]), ([0, 0, 0], 134, [0, 0, 0])])
+def test_thin_strata_are_merged(n, least, groups):
+    assert R.merged(n, least) == groups
+
+
+def test_levels_pass_on():
+    n, none = [200, 200], [0] * 4
+    assert exact_tail(1, 200, 0.03) < 0.025 < 0.05 < exact_tail(2, 200, 0.03)
+    assert R.accept(n, [none, [0, 1, 1, 2, 2]], 0.03, 0.05) == [4, 3]
+    assert 0.019 < exact_tail(3, 300, 0.03) < 0.0225
+    assert R.accept([300, 200], [[3, 9], none], 0.03, 0.045) == [1, 4] and R.accept([300, 200], [[3, 9], [9]], 0.03, 0.038) == [0, 0]
+    assert R.accept([300, 200], [[3, 9], none], 0.03, 0.038) == [1, 4]  # at 0.019 it wouldn't be; the other's level came to it
+    alone = R.accept([300], [[2, 3]], 0.03, 0.05 / 2)
+    both = R.accept([300, 300], [[2, 3], [0]], 0.03, 0.05)
+    late = R.accept([300, 300], [[2, 4], [0]], 0.03, 0.05)  # P(Bin(300, 0.03) <= 3) = 0.02, <= 4: 0.05
+    assert alone == [2] and both == [2, 1] and late == [1 + (exact_tail(4, 300, 0.03) <= 0.05), 1]
+    assert R.accept([0, 300], [[0], []], 0.03, 0.05) == [0, 0] and R.accept([], [], 0.03, 0.05) == []
 
 
 def test_cutoffs_hold_their_promise():
-    rng, alpha, broken = np.random.default_rng(0), 0.05, 0
-    cut = np.array(R.CUTOFFS)
-    for _ in range(100):  # rates of good documents: exponential with mean 0.05
-        sample = rng.exponential(0.05, 3000)
-        rejected = (sample[:, None] > cut).sum(0)[None, None, :]
-        chosen = R.choose(np.array([3000]), rejected, alpha, 0.05)[0, 0]
-        broken += math.exp(-chosen / 0.05) > alpha
-        assert chosen < 0.3
-    assert broken <= 5
-    assert np.isinf(R.choose(np.array([20]), np.zeros((1, 1, len(cut)), int), alpha, 0.05)).all()
-    assert np.isinf(R.choose(np.array([0]), np.zeros((1, 1, len(cut)), int), alpha, 0.05)).all()
+    """Over many draws, all rules of a stratum together falsely reject over alpha at most as often as promised."""
+    rng, alpha, broken, acted = np.random.default_rng(0), 0.05, 0, 0
+    draw = lambda n: np.stack([np.searchsorted(R.CUTOFFS[::-1], rng.exponential(s, n), "right") for s in (0.05, 0.02, 0.1, 0.01, 0.03)], 1)
+    first = lambda n: len(R.CUTOFFS) - draw(n)  # noqa: E731  cutoffs that aren't passed
+    truth = first(200_000)
+    for _ in range(60):
+        path = R.lay_path(first(300), np.minimum(first(100), rng.integers(0, 56, (100, 5))), alpha)
+        holdout = first(600)
+        hit = lambda rows, setting: (rows <= np.array(setting)).any(1)
+        steps = R.accept([600], [[int(hit(holdout, p).sum()) for p in path]], alpha, 0.1)[0]
+        rates = [hit(holdout, p).mean() for p in path]
+        assert rates == sorted(rates)
+        acted += steps > 0
+        broken += bool(steps) and hit(truth, path[steps - 1]).mean() > alpha
+    assert acted > 40 and broken <= 60 * 0.1 + 4
+
+
+def naive_rates(rows):
+    """(id, base rule failed, band, rates) of each row."""
+    seen = []
+    for i, t in rows:
+        n, chars, symbols, dup, rep, lines, upper, marks = naive_measures(t or "")
+        failed = n < 10 or 100 * rep > 20 * n
+        x = [symbols / max(chars, 1), dup / max(lines, 1), rep / max(n, 1), upper / max(chars, 1), marks / max(n, 1)]
+        seen.append((i, failed, (n >= R.BANDS[0]) + (n >= R.BANDS[1]), x))
+    return seen
+
+
+def test_quality_rules_against_brute_force(spark):
+    rows = [(i, t) for i, t, _, _ in quality_rows(900)]
+    told = {i: int(good) for i, _, _, good in quality_rows(900)}
+    rows += [(i, words(random.Random(i), "bb", 180 + i % 50) + ("!! " * (i % 7) if i % 3 else "")) for i in range(2000, 2400)]
+    told |= {i: int(i % 7 < 4) for i in range(2000, 2400)}
+    rows += [(5, rows[5][1]), (5, rows[9][1]), (7777, None)]  # an id three times
+    docs = spark.createDataFrame([(i, t, True, 0) for i, t in rows], "doc_id long, text string, kept boolean, n_words int").repartition(3)
+    labels = spark.createDataFrame([(i, y, 1) for i, y in told.items()] + [(6, 0, 1), (6, 1, 1)], "doc_id long, quality int, good int")
+    told[6] = 0
+    alpha, delta = 0.05, 0.1
+    model = R.train(docs, labels, alpha=alpha, delta=delta)
+    seen = naive_rates(rows)
+    in_fit = {r["id"]: r["f"] for r in spark.createDataFrame([(i,) for i in told], "id long").select("id", R.hash_share(F.col("id"), 1 / 3, 29).alias("f")).collect()}
+    first = lambda x: [next((c for c, cut in enumerate(R.CUTOFFS) if v > cut), len(R.CUTOFFS)) for v in x]
+    labelled = [(i, s, first(x)) for i, failed, s, x in seen if i in told and not failed]
+    holdout = [(i, s, f) for i, s, f in labelled if not in_fit[i] and told[i]]
+    group = R.merged([len({i for i, b, _ in holdout if b == s}) for s in range(3)], R.least_rows(alpha, delta / 3))
+    fit = lambda g, good: np.array([f for i, s, f in labelled if in_fit[i] and told[i] == good and group[s] == g]).reshape(-1, 5)
+    paths = [R.lay_path(fit(g, 1), fit(g, 0), alpha) for g in range(max(group) + 1)]
+    rejected = [[len({i for i, s, f in holdout if group[s] == g and any(a <= c for a, c in zip(f, step, strict=True))}) for step in p] for g, p in enumerate(paths)]
+    n = [len({i for i, s, _ in holdout if group[s] == g}) for g in range(len(paths))]
+    settled = R.accept(n, rejected, alpha, delta)
+    assert max(settled) > 0
+    limit = lambda s: [R.CUTOFFS[c] if c >= 0 else math.inf for c in paths[group[s]][settled[group[s]] - 1]] if settled[group[s]] else [math.inf] * 5
+    expected = sorted((i, not failed and all(v <= m for v, m in zip(x, limit(s), strict=True))) for i, failed, s, x in seen)
+    assert sorted((r["doc_id"], r["kept"]) for r in R.judge(docs, model, [F.col("doc_id")]).collect()) == expected
+    assert 100 < sum(not k for _, k in expected) < len(rows) / 2
 
 
 def test_quality_rules(spark):
