@@ -299,22 +299,127 @@ def test_quality_rules(spark):
     assert np.isinf(bare.cutoffs).all() and R.judge(docs.where("false"), bare, [F.col("doc_id")]).count() == 0
 
 
-def test_licences(spark):
-    prose = "ko ma ti ra. Mira tiko."
+PROSE = "ko ma ti ra. Mira tiko."
+
+
+@pytest.fixture(scope="module")
+def licence_rows():
     cases = {
         1: ("This work is licensed under the GNU General Public License, version 3.", "gpl"), 2: ("Released under the MIT License.", "mit"), 3: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 4: ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
         5: ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), 6: ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"),
-        7: ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")", "mit"),
-        8: ("He got his driver's license from the state in 2004 and works as a public school teacher.", None), 9: (prose, None), 10: (None, None), 11: ("", None),
+        7: ("Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files (the \"Software\"), to deal in the\n * Software without restriction", "mit"),
+        8: ("He got his driver's license from the state in 2004 and works as a public school teacher.", None), 9: (PROSE, None), 10: (None, None), 11: ("", None),
+        14: ("All rights reserved.", "proprietary"), 15: ("Licensed under CC BY-ND 4.0. " + "ko ma ti ra " * 300, "cc-by-nd"), 16: ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "isc"),
+        17: ("You may use this code under the terms of the CeCILL licence.", "unknown"), 18: ("SPDX-License-Identifier: LicenseRef-Acme", "unknown"),
+        20: ("This software is provided 'as-is', without any express or implied warranty.", "zlib"),
     }
-    rows = [(i, t if t is None or i > 8 else f"{prose}\n{t}\n{prose}", "c") for i, (t, _) in cases.items()]
-    rows += [(12, "ko ma\n" * 50_000 + "Released under the MIT License.", "c"), (13, "Released under the MIT License.\n" * 2, "c")] + [(100 + i, words(random.Random(i), "bb", 40), "c") for i in range(60)]
+    rows = [(i, t if t is None or 8 < i < 12 else f"{PROSE}\n{t}\n\n{PROSE}", "c") for i, (t, _) in cases.items()]
+    rows += [(19, "GPL", "c"), (12, "ko ma\n" * 50_000 + "Released under the MIT License.", "c"), (13, "Released under the MIT License.\n" * 2, "c"), (13, "Released under the MIT License.\n" * 2, "c")]
+    rows += [(100 + i, words(random.Random(i), "bb", 40), "c") for i in range(60)]
+    return {i: f for i, (_, f) in cases.items()}, rows
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark, licence_rows):
+    return license_scan.train(spark.createDataFrame(licence_rows[1], "doc_id long, text string, license string"))
+
+
+def test_licences(spark, licence_rows, licence_model):
+    expected, rows = licence_rows
     df = spark.createDataFrame(rows, "doc_id long, text string, license string")
-    model = license_scan.train(df)
-    got = {r["doc_id"]: r for r in license_scan.scan(df, model, [F.col("doc_id")]).collect()}
-    assert {i: got[i]["license"] for i in cases} == {i: f for i, (_, f) in cases.items()}
-    assert all(got[i]["confirmed"] and got[i]["paragraphs"][0]["line"] == 1 for i in range(1, 8))
-    assert got[12]["license"] == "mit" and got[12]["paragraphs"][0]["line"] == 50_000 and got[13]["n_paragraphs"] == 2
+    out = license_scan.scan(df, licence_model, [F.col("doc_id")]).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(out) == len(rows) and {i: got[i]["license"] for i in expected} == expected
+    assert [i for i in (1, 2, 3, 4, 5, 6, 7, 14, 15, 16) if not got[i]["confirmed"] or got[i]["paragraphs"][0]["line"] != 1] == []
+    assert got[19]["license"] in ("gpl", "unknown")
+    assert got[12]["license"] == "mit" and got[12]["paragraphs"][0]["line"] == 50_000
+    assert [r["n_paragraphs"] for r in out if r["doc_id"] == 13] == [2, 2] and got[13]["license"] == "mit"
     assert all(got[100 + i]["license"] is None and got[100 + i]["n_paragraphs"] == 0 for i in range(60))
+    again = license_scan.train(df.repartition(3))
+    assert (again.net.weights == licence_model.net.weights).all() and again.marks == licence_model.marks and again.threshold == licence_model.threshold
     empty = df.where("false")
     assert license_scan.scan(empty, license_scan.train(empty), [F.col("doc_id")]).count() == 0
+
+
+def naive_scan(model, text):
+    """All passages of one text, with dense vectors and no early exit."""
+    found, words, at = [], [], []
+    lines = text.split("\n")
+    for i, line in enumerate([*lines, ""]):
+        own = license_scan.TOKEN.findall(line.lower())
+        words, at = words + own, at + [i] * len(own)
+        ends = i == len(lines) or not line.strip() or line.rstrip().rstrip("\"')]")[-1:] in (".", "!", "?")
+        if not ends:
+            continue
+        marked = [k for k, w in enumerate(words) if w in model.marks]
+        runs = []
+        for k in marked:
+            if runs and k - runs[-1][-1] <= 12:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        found += [(at[r[0]], words[max(0, r[0] - 3) : r[-1] + 4]) for r in runs]
+        words, at = [], []
+    out = []
+    for line, passage in found:
+        x = np.zeros(len(model.net.vocabulary))
+        for n in (1, 2, 3):
+            for k in range(len(passage) - n + 1):
+                if (g := " ".join(passage[k : k + n])) in model.net.vocabulary:
+                    x[model.net.vocabulary[g]] = 1
+        z = ((x / max(1.0, math.sqrt(x.sum()))) @ model.net.weights + model.net.bias) / model.temperature
+        p = dict(zip(model.families, np.exp(z) / np.exp(z).sum(), strict=True))
+        best = min(p, key=lambda f: (-p[f], f))
+        named = best not in ("none", "unknown")
+        peculiar = license_scan.peculiar(license_scan.TEMPLATES)
+        have = {tuple(passage[k : k + 3]) for k in range(max(1, len(passage) - 2))}
+        sure = named and any(len(have & t) >= max(0.4 * len(t), min(2, len(t))) for t in peculiar[best])
+        if best == "none":
+            verdict, score = ("unknown", 1 - p["none"]) if 1 - p["none"] >= model.wording else (None, 0)
+        else:
+            verdict, score = best if sure or best == "unknown" or p[best] >= model.threshold else "unknown", p[best]
+        if verdict:
+            out.append((line, verdict, round(float(score), 9), sure))
+    return out
+
+
+def test_scans_equal_the_naive_ones(licence_rows, licence_model):
+    rnd = random.Random(9)
+    wording = [w for ts in license_scan.TEMPLATES.values() for t in ts for w in t.split()]
+    texts = [t or "" for _, t, _ in licence_rows[1][:24] if len(t or "") < 5000]
+    texts += ["".join(rnd.choice([rnd.choice(wording), "ko", "ma.", "ti?\")"]) + rnd.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(rnd.randrange(150))) for _ in range(60)]
+    texts += [t + " " + u for ts in license_scan.TEMPLATES.values() for t in ts for u in ("ko ma", "GPL")]
+    for t in texts:
+        assert [(a, b, round(c, 9), d) for a, b, c, d in licence_model.scan(t)] == naive_scan(licence_model, t)
+    assert len({v[1] for t in texts for v in licence_model.scan(t)}) > 15
+
+
+def test_licences_that_were_never_learned(licence_model):
+    """Families left out altogether are seldom taken for others, as the calibration promises; wordings left out still come to their own at times."""
+    plain = [words(random.Random(i), "bb", 40).split() for i in range(300)]
+    rng, told = np.random.default_rng(4), Counter()
+    for k in range(license_scan.FOLDS):
+        learned, wordings, unseen = license_scan._left_out(k)
+        assert not learned.keys() & unseen.keys() and all(set(learned[f]).isdisjoint(wordings[f]) for f in learned)
+        net = license_scan._fit(learned, license_scan.GENERIC, license_scan.DECOYS, plain, ["ko", "ma"], [*sorted(learned), "unknown", "none"], licence_model.net.vocabulary, 50 + k)
+        model = license_scan.LicenceModel(net, learned, licence_model.marks, licence_model.temperature, licence_model.threshold, licence_model.wording)
+        for f, ts in unseen.items():
+            for v in (v for t in ts for v in license_scan.variants(t, rng, ["ko", "ma"], 3)):
+                found = {r[1] for r in model.scan(" ".join(v))}
+                told["named" if found - {"unknown"} else "unknown" if found else "nothing"] += 1
+                assert f not in found
+    assert told["named"] < 0.12 * told.total() and told["unknown"] > 0.4 * told.total()
+
+
+def test_sparse_products():
+    rng = np.random.default_rng(1)
+    rows = [sorted(rng.choice(20, rng.integers(0, 6), replace=False).tolist()) for _ in range(30)]
+    dense = np.zeros((30, 20))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1 / math.sqrt(max(1, len(r)))
+    w, g, x = rng.standard_normal((20, 3)), rng.standard_normal((30, 3)), license_scan.Sparse(rows)
+    assert np.allclose(x.times(w), dense @ w)
+    columns, back = x.back(g)
+    assert np.allclose(back, (dense.T @ g)[columns]) and columns.tolist() == sorted({c for r in rows for c in r})
+    nothing = license_scan.Sparse([[], []])
+    assert not nothing.times(w).any() and len(nothing.back(g[:2])[0]) == 0
