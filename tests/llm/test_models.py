@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from tidemark.llm import language_id, license_scan, lm_score, ppm
 from tidemark.llm import quality_classifier as Q
 from tidemark.llm import quality_rules as R
-from tidemark.llm.common import fold
+from tidemark.llm.common import fold, top_rows
 
 
-def naive_ppm(training, text, order):
-    """Code length in bits with escape method D and exclusion, by dictionaries."""
+def naive_ppm(training, text, order, least=1):
+    """Code length in bits with escape method D and exclusion, by dictionaries; contexts seen fewer than ``least`` times are none."""
     counts = defaultdict(Counter)
     for t in training:
         data = bytes(order) + t + b"\xff"
@@ -27,6 +27,8 @@ def naive_ppm(training, text, order):
     for i in range(order, len(data)):
         p, excluded, done = 1.0, set(), False
         for k in range(order, -1, -1):
+            if k and sum(counts[data[i - k : i]].values()) < least:
+                continue
             own = {s: c for s, c in counts[data[i - k : i]].items() if s not in excluded}
             total = sum(own.values())
             if not total:
@@ -94,6 +96,57 @@ def test_languages(spark):
     assert language_id.identify(df.where("false"), language_id.train(df.where("false"), F.lit(True)), [F.col("doc_id")]).count() == 0
 
 
+def test_what_has_a_letter():
+    assert not any(language_id.has_letter(t.encode()) for t in ("", "½ ² 5", "12 %_!\n", "٣ Ⅷ", "🙂 ① ᛮ"))
+    assert all(language_id.has_letter(t.encode()) for t in ("5a", "漢", "_é", "ª", "\u02b0"))
+    assert not language_id.has_letter(b"\xff 1") and language_id.has_letter(b"\xff x")
+
+
+def test_languages_against_the_naive_model(spark):
+    rows = [(i, t, lang) for i, t, lang in language_rows(60)]
+    rows += [(i, "ko ti schu za", "aa2") for i in (200, 201)] + [(i, "ko ti schu za", "Aa1") for i in (202, 203)]  # two languages with one text: equal lengths everywhere
+    rows += [(300 + i, t, None) for i, t in enumerate(("½ ² 5", "ko ti", "ñe schu", "Q", None, "zz" * 500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    train = F.col("doc_id") % 5 != 1
+    got = {r["doc_id"]: r for r in language_id.identify(df, language_id.train(df, train), [F.col("doc_id")]).collect()}
+    learned = defaultdict(set)
+    for i, t, lang in rows:
+        if lang and i % 5 != 1:
+            learned[lang].add(t.lower().encode())
+    langs = sorted(learned)
+    for i, t, _ in rows[::3] + rows[-10:]:
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        bits = [naive_ppm(learned[x], t.lower().encode(), 3, 2) for x in langs]
+        best = langs[int(np.argmin(bits))]
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 / sum(2 ** max(-1000, min(bits) - b) for b in bits), abs=1e-4)
+        assert best != "aa2"
+
+
+def test_many_languages_keep_their_room(spark):
+    rnd = random.Random(5)
+    alphabets = [chr(0x4E00 + 8 * i) + chr(0x4E01 + 8 * i) + " " for i in range(40)]
+    rows = [(i, "".join(rnd.choice(alphabets[i % 40]) for _ in range(80)), f"l{i % 40:02}") for i in range(400)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), max_nodes=30)
+    assert len(model.langs) == 40 and all(20 <= len(t.lengths) // t.width <= 40 for t in model.tries)
+    assert model.predict([r[1].encode() for r in rows])[0] == [r[2] for r in rows]
+
+
+@pytest.mark.parametrize("most", [1, 7, 100, 333, 2000])
+def test_top_rows_fill_their_room(spark, most):
+    rnd = random.Random(most)
+    rows = [(i, g, rnd.choice([1, 1, 1, 2, 3, 64, 65, 66, 67, 1000, rnd.randrange(1, 10**9)]), rnd.randrange(3)) for g in ("a", "b") for i in range(900)] + [(i, "c", 5, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, g string, n long, t int").repartition(3)
+    got = df.where(top_rows(df, "n", most, F.col("t"), "g")).collect()
+    for g in "abc":
+        own = sorted((-n, t) for _, x, n, t in rows if x == g)
+        cut = own[min(most, len(own)) - 1]
+        found = [(-r["n"], r["t"]) for r in got if r["g"] == g]
+        assert {x for x in own if x < cut} <= set(found) and all(x <= cut for x in found) and sum(x < cut for x in found) == sum(x < cut for x in own)
+        assert abs(len(found) - min(most, len(own))) <= 4 * math.sqrt(most) + 2
+
+
 @pytest.mark.parametrize("hot", [5, 10_000])
 def test_language_model_scores(spark, hot):
     rows = [(i, t) for i, t, _ in language_rows(60)] + [(800, None), (801, ""), (802, "New WORDS new"), (803, words(random.Random(1), "aa", 20_000)), (5, "Ko ma"), (None, "ma")]
@@ -119,9 +172,8 @@ def test_language_model_scores_with_all_contexts(spark, room):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = lm_score.score(df, F.col("doc_id") < 30, [F.col("doc_id")], max_nodes=room).collect()
     lowered = {i: (t or "").lower().encode() for i, t in rows}
-    whole = ppm.Trie.freeze(ppm.shorter([ppm.count_windows([lowered[j] for j in range(30)], 5)], 5), 10**6, 2)
-    assert len(whole.lengths) > 400 * whole.width
-    expected = dict(zip(lowered, -math.log10(2) * whole.bits(list(lowered.values()))[:, 0], strict=True))
+    learned = [lowered[j] for j in range(30)]
+    expected = {i: -math.log10(2) * naive_ppm(learned, t, 5, 2) for i, t in lowered.items()}
     assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(expected, rel=1e-5)
 
 

@@ -52,20 +52,48 @@ def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
-def top_cutoff(df: DataFrame, column: str, most: int) -> float:
-    """A value that at most ``most`` rows of ``df`` reach in a positive ``column``: as many as whole classes of like values allow.
+def top_rows(df: DataFrame, count: str, most: int, tie: Column | None = None, group: str | None = None, seed: int = 1) -> Column:
+    """A condition that holds for exactly the ``most`` rows of ``df`` (of each ``group``) with the largest whole number ``count`` > 0, or nearly.
 
-    Only a histogram of logarithms, of bounded size, reaches the driver; a
-    sorted limit would bring ``most`` rows from every task.
+    Of equal counts those with the smaller ``tie`` come first (a number of few
+    values); of rows equal in both, a share is taken by hash, which is what "nearly" is about.  Only
+    histograms reach the driver: of logarithms, then of the counts in the one
+    bar that is cut, then of ties; a sorted limit would bring ``most`` rows from every task.
     """
-    bars = df.groupBy(F.floor(F.log2(F.col(column)) * 16).alias("bar")).agg(F.count("*").alias("n"), F.min(column).alias("low")).collect()
-    taken, cutoff = 0, float("inf")
-    for bar in sorted(bars, key=lambda r: -r["bar"]):
-        taken += bar["n"]
-        if taken > most:
-            break
-        cutoff = bar["low"]
-    return cutoff
+    tie, g = F.lit(0) if tie is None else tie, F.lit(0) if group is None else F.col(group)
+    rows = df.select(g.alias("g"), F.col(count).alias("n"), tie.alias("t"))
+    bar = F.floor(F.log2("n") * 16)
+
+    def split(seen: list, key: str, room: dict, largest: bool) -> dict:
+        """For each group, the value at which its room runs out, and what room is left there."""
+        at, left = {}, dict(room)
+        for r in sorted(seen, key=lambda r: r[key], reverse=largest):
+            if r["g"] in left and r["g"] not in at:
+                if r["k"] > left[r["g"]]:
+                    at[r["g"]] = r[key]
+                else:
+                    left[r["g"]] -= r["k"]
+        return {k: (v, left[k]) for k, v in at.items()}
+
+    def among(cut: dict, column: Column) -> Column:
+        """Whether a row is of a group and value that is cut."""
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, (v, _) in cut.items() for x in (k, v)]), F.col("g")) == column, F.lit(False))
+
+    seen = rows.groupBy("g", bar.alias("bar")).agg(F.count("*").alias("k")).collect()
+    cut = split(seen, "bar", {r["g"]: most for r in seen}, True)
+    whole = F.lit(True)
+    if not cut:
+        return whole
+    inside = rows.where(among(cut, bar))
+    cut = split(inside.groupBy("g", "n").agg(F.count("*").alias("k")).collect(), "n", {k: left for k, (_, left) in cut.items()}, True)
+    equal = rows.where(among(cut, F.col("n"))).groupBy("g", "t").agg(F.count("*").alias("k")).collect()
+    last = split(equal, "t", {k: left for k, (_, left) in cut.items()}, False)
+    total = {(r["g"], r["t"]): r["k"] for r in equal}
+    for k, (n, _) in cut.items():
+        t, left = last[k]
+        some = hash_share(F.struct(*[F.col(c) for c in df.columns if c != count]), left / total[k, t], seed)
+        whole = F.when(g == k, (F.col(count) > n) | ((F.col(count) == n) & ((tie < t) | ((tie == t) & some)))).otherwise(whole)
+    return whole
 
 
 def slices(texts: list[bytes], limit: int) -> Iterator[list[int]]:

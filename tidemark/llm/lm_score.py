@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import ppm
-from tidemark.llm.common import as_bytes, pieces, top_cutoff
+from tidemark.llm.common import as_bytes, pieces, top_rows
 from tidemark.runtime import materialise
 
 WORDS = -1  # stands for a model in tables of counts
@@ -98,7 +98,7 @@ def train(docs: DataFrame, where: Column, text: str = "text", order: int = 5, ma
     trie, cold = ppm.fit_whole(windows, order, max_table_bytes, max_nodes)
     words = counts.where(F.col("model") == WORDS).select(F.col("key").alias("hash"), "cnt")
     n_words, distinct = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)), F.count("*")).first()
-    hot = words.where(F.col("cnt") >= top_cutoff(words, "cnt", hot_words)).toArrow()  # at most hot_words rows
+    hot = words.where(top_rows(words, "cnt", hot_words)).toArrow()  # about hot_words rows
     model = ByteModel(trie, hot.column(0).to_numpy().astype(np.int64), hot.column(1).to_numpy().astype(np.int64))
     return model, lambda wanted: ppm.cold_bits(windows, wanted, cold), words, n_words, distinct, rows.count()
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import top_cutoff
+from tidemark.llm.common import top_rows
 from tidemark.runtime import materialise
 
 PAD, END = 0, 255
@@ -84,7 +84,7 @@ class Trie:
         self.models = lengths.shape[1]
 
     @classmethod
-    def freeze(cls, by_length: list[list[tuple[np.ndarray, np.ndarray]]], max_nodes: int, min_count: int = 2, cold: list[tuple[np.ndarray, np.ndarray]] | None = None) -> "Trie":
+    def freeze(cls, by_length: list[list[tuple[np.ndarray, np.ndarray]]], max_nodes: int | None, min_count: int = 2, cold: list[tuple[np.ndarray, np.ndarray]] | None = None) -> "Trie":
         """``by_length[k][model]``: windows of k context bytes and a symbol, and their counts (:func:`shorter`).
 
         ``max_nodes`` bounds the trie whatever the corpus holds: the most
@@ -106,7 +106,7 @@ class Trie:
         total = np.concatenate([c for _, c in contexts])
         length = np.repeat(np.arange(order + 1), sizes)
         fit = np.flatnonzero((total >= min_count) | (length == 0))
-        fit = np.sort(fit[np.lexsort((length[fit], -total[fit]))[:max_nodes]])
+        fit = np.sort(fit[np.lexsort((length[fit], -total[fit]))[:max_nodes]])  # None: all
         offset = np.concatenate([[0], np.cumsum(sizes)])
         nodes = [contexts[k][0][fit[length[fit] == k] - offset[k]] for k in range(order + 1)]
         if not len(nodes[0]):
@@ -284,24 +284,26 @@ def _cuts(windows: DataFrame, order: int) -> DataFrame:
     return materialise(cuts.groupBy("k", "model", cut.alias("key")).agg(F.sum("cnt").alias("cnt")), "windows")
 
 
-def _fit(cuts: DataFrame, models: int, order: int, max_table_bytes: int, max_nodes: int, whole: bool) -> Trie:
-    width = cuts.where("k = 0").select("key").distinct().count() + 1
-    room = int(max(1, min(max_nodes, max_table_bytes // (4 * width * max(models, 1)))))
+def _room(width: int, max_table_bytes: int, max_nodes: int) -> int:
+    return int(max(1, min(max_nodes, max_table_bytes // (4 * width))))
+
+
+def _fit(cuts: DataFrame, order: int, max_table_bytes: int, max_nodes: int) -> Trie:
+    room = _room(cuts.where("k = 0").select("key").distinct().count() + 1, max_table_bytes, max_nodes)
     contexts = cuts.groupBy("k", F.expr("shiftright(key, 8)").alias("ctx")).agg(F.sum("cnt").alias("total")).where("total > 1 OR k = 0")
-    least = top_cutoff(contexts, "total", room)
-    hot = (F.col("total") >= least) | (F.col("k") == 0)
-    kept = contexts.where(hot).select(F.col("k").alias("kk"), "ctx")  # at most max_nodes rows
-    rows = cuts.join(F.broadcast(kept), (F.col("k") == F.col("kk")) & (F.expr("shiftright(key, 8)") == F.col("ctx"))).select("k", "model", "key", "cnt").toArrow()
-    k, model, key, cnt = (rows.column(i).to_numpy() for i in range(4))
-    by_length = []
-    for length in range(order + 1):
-        per = []
-        for m in range(models):
-            own = np.flatnonzero((k == length) & (model == m))
-            own = own[np.argsort(key[own], kind="stable")]
-            per.append((key[own].astype(np.int64), cnt[own].astype(np.int64)))
-        by_length.append(per)
-    return Trie.freeze(by_length, room + 1, 1, _cold_children(contexts.where(~hot), kept, order) if whole else None)
+    # the context of no bytes is the most frequent; a parent is more frequent than its child, or as frequent and shorter
+    hot = top_rows(contexts.where("k > 0"), "total", room, F.col("k")) | (F.col("k") == 0)
+    kept = contexts.where(hot).select(F.col("k").alias("kk"), "ctx")  # about max_nodes rows
+    rows = cuts.join(F.broadcast(kept), (F.col("k") == F.col("kk")) & (F.expr("shiftright(key, 8)") == F.col("ctx"))).select("k", "key", "cnt").toArrow()
+    k, key, cnt = (rows.column(i).to_numpy() for i in range(3))
+    return Trie.freeze([[_of(k, key, cnt, length)] for length in range(order + 1)], None, 1, _cold_children(contexts.where(~hot), kept, order))
+
+
+def _of(k: np.ndarray, key: np.ndarray, cnt: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of one length, sorted."""
+    own = np.flatnonzero(k == length)
+    own = own[np.argsort(key[own], kind="stable")]
+    return key[own].astype(np.int64), cnt[own].astype(np.int64)
 
 
 def _cold_children(cold: DataFrame, kept: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -315,14 +317,26 @@ def _cold_children(cold: DataFrame, kept: DataFrame, order: int) -> list[tuple[n
     return [(ctx[k == length], older[k == length]) for length in range(order)]
 
 
-def fit(windows: DataFrame, models: int, order: int, max_table_bytes: int, max_nodes: int) -> Trie:
-    """Freeze a trie from ``(model, key, cnt)``.
+def fit(windows: DataFrame, models: int, order: int, max_table_bytes: int, max_nodes: int) -> list[Trie]:
+    """A frozen trie for each model of ``(model, key, cnt)``, of its own most frequent contexts.
 
     Which contexts are kept is decided over all counts, in Spark; the driver
-    gets the symbols of at most ``max_nodes`` contexts, fewer where the table of
+    gets the symbols of at most about ``max_nodes`` contexts a model, fewer where its table of
     code lengths would pass ``max_table_bytes``.
     """
-    return _fit(_cuts(windows, order), models, order, max_table_bytes, max_nodes, False)
+    cuts = _cuts(windows, order)
+    contexts = cuts.groupBy("model", "k", F.expr("shiftright(key, 8)").alias("ctx")).agg(F.sum("cnt").alias("total")).where("total > 1 OR k = 0")
+    width = cuts.where("k = 0").select("key").distinct().count() + 1
+    hot = top_rows(contexts.where("k > 0"), "total", _room(width, max_table_bytes, max_nodes), F.col("k"), "model") | (F.col("k") == 0)
+    kept = contexts.where(hot).select(F.col("model").alias("mm"), F.col("k").alias("kk"), "ctx")
+    same = (F.col("model") == F.col("mm")) & (F.col("k") == F.col("kk")) & (F.expr("shiftright(key, 8)") == F.col("ctx"))
+    rows = cuts.join(F.broadcast(kept), same).select("model", "k", "key", "cnt").toArrow()
+    model, k, key, cnt = (rows.column(i).to_numpy() for i in range(4))
+    out = []
+    for m in range(models):
+        own = model == m
+        out.append(Trie.freeze([[_of(k[own], key[own], cnt[own], length)] for length in range(order + 1)], None, 1))
+    return out
 
 
 class Cold:
@@ -357,7 +371,7 @@ class Cold:
 def fit_whole(windows: DataFrame, order: int, max_table_bytes: int, max_nodes: int) -> tuple[Trie, Cold]:
     """One model of all contexts that ``(model, key, cnt)`` has twice or more: a trie of the most frequent, bounded as in :func:`fit`, and what the others need."""
     cuts = _cuts(windows, order)
-    trie = _fit(cuts, 1, order, max_table_bytes, max_nodes, True)
+    trie = _fit(cuts, order, max_table_bytes, max_nodes)
     head = min(3, order)
     rows = cuts.where(F.col("k") < head).select("k", "key", "cnt").orderBy("k", "key").toArrow()
     k, key, cnt = (rows.column(i).to_numpy() for i in range(3))
