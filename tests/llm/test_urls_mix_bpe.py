@@ -47,6 +47,35 @@ def test_nested_rules_by_the_thousand(spark):
     assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
 
 
+def test_nulls_in_rules_and_pages(spark):
+    rules = spark.createDataFrame([("a.com", None, "block", 1), (None, "/", "block", 2), ("a.com", "/x", None, 3), ("B.COM", "/X", "block", 4), ("Ä.com", "/", "block", 5), ("a.com", "/ok/", "allow", 6)], "host string, path string, verdict string, page_id int")
+    urls = ["http://a.com", "http://q.a.com/x?y", "http://a.com/ok/1", "http://b.com/x", "http://b.com/Xy", "http://Ä.com/", "http://ä.com/", None]
+    pages = spark.createDataFrame([(i if i else None, u, "h", "p") for i, u in enumerate(urls)] + [(1, urls[1], "h", "p")], "page_id long, url string, host string, rule string")
+    got = sorted(str((r["page_id"], r["rule"], r["verdict"])) for r in url_filter.judge(pages, rules, ranges=2).collect())
+    assert got == sorted(map(str, [(None, "a.com", "block"), (1, "a.com", "block"), (1, "a.com", "block"), (2, "a.com/ok/", "allow"), (3, None, "allow"), (4, "b.com/X", "block"), (5, "Ä.com/", "block"), (6, None, "allow"), (7, None, "allow")]))
+
+
+def test_a_host_with_very_many_rules():
+    rnd, sweep, rules = random.Random(2), url_filter.Sweep(), []
+    for i in range(20_000):
+        rules.append(("a.com", "/" + "".join(rnd.choice("ab/") for _ in range(rnd.randrange(24))), rnd.choice(["allow", "block"])))
+        sweep.open("com.a.", *rules[-1])
+    for _ in range(60):
+        path = "/" + "".join(rnd.choice("ab/") for _ in range(40))
+        assert sweep.judge("com.a.", path) == judged("http://a.com" + path, rules)[2:]
+    looked = []
+
+    class Counted(dict):
+        def get(self, *a):
+            looked.append(1)
+            return dict.get(self, *a)
+
+    key, by_path, lengths = sweep.stack[0]
+    sweep.stack[0] = (key, Counted(by_path), lengths)
+    sweep.judge("com.a.", "/c" * 20)
+    assert len(looked) <= 24 and lengths == sorted(set(lengths))
+
+
 def test_no_pages_or_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     rules = url_filter.rules_table(spark, RULES)

@@ -17,7 +17,9 @@ the cuts, of fixed number, are.
 Defined results: a null url, or one without ``://``, has an empty host and
 path and no rule; a page without a rule gets the default verdict; of two
 equally long rules that fit, the one with the longer host wins; of rules that
-are the same text, a block wins; a rule with an empty host covers nothing.
+are the same text, a block wins; a rule with an empty or null host, or without a verdict, covers nothing;
+one with a null path covers every path.  A null page id is carried as it is, repeated rows are
+judged alike, and a url of any length is read whole; other columns of pages and rules aren't looked at.
 """
 
 from __future__ import annotations
@@ -33,11 +35,16 @@ from tidemark.runtime import shuffle_partitions
 END = "\U0010ffff"
 
 
+def lower(c: Column | str) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_and_path(url: str) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url column, both empty where there is no ``://``."""
     at = F.locate("://", F.col(url))
     rest = F.when(at > 0, F.col(url).substr(at + 3, F.length(F.col(url))))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = lower(F.regexp_extract(rest, r"^([^/?#]*)", 1))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
@@ -53,10 +60,14 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 
 
 class Sweep:
-    """One pass over rows in order of (key, rules first); ``stack`` holds the rules whose hosts contain the current key."""
+    """One pass over rows in order of (key, rules first); ``stack`` holds the hosts with rules that contain the current key.
+
+    A host's rules are kept by path, so a page looks up beginnings of its own
+    path, one for each length that a rule of the host has, however many rules there are.
+    """
 
     def __init__(self):
-        self.stack: list[tuple[str, list]] = []
+        self.stack: list[tuple[str, dict[str, tuple], list[int]]] = []
 
     def move(self, key: str) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
@@ -65,13 +76,22 @@ class Sweep:
     def open(self, key: str, host: str, path: str, verdict: str) -> None:
         self.move(key)
         if not self.stack or self.stack[-1][0] != key:
-            self.stack.append((key, []))
-        self.stack[-1][1].append((len(host) + len(path), len(host), verdict == "block", host, path, verdict))
+            self.stack.append((key, {}, []))
+        _, rules, lengths = self.stack[-1]
+        own = (len(host) + len(path), len(host), verdict == "block", verdict, host + path)
+        if path not in rules and (at := bisect.bisect_left(lengths, len(path))) == bisect.bisect_right(lengths, len(path)):
+            lengths.insert(at, len(path))
+        rules[path] = max(own, rules.get(path, own))
 
     def judge(self, key: str, path: str) -> tuple[str, str] | None:
         self.move(key)
-        best = max((r for _, rules in self.stack for r in rules if path.startswith(r[4])), default=None)
-        return best and (best[3] + best[4], best[5])
+        best = None
+        for _, rules, lengths in self.stack:
+            for n in reversed(lengths[: bisect.bisect_right(lengths, len(path))]):
+                if (found := rules.get(path[:n])) is not None:
+                    best = found if best is None else max(best, found)
+                    break  # shorter paths of the same host lose
+        return best and (best[4], best[3])
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
@@ -80,7 +100,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url: s
     ranges = ranges or max(1, 2 * shuffle_partitions(spark))
     rows = pages.select(F.col(id_column).alias("id"), F.col(url).alias("__url")).select("id", *(c.alias(n) for c, n in zip(host_and_path("__url"), ("host", "path"), strict=True)))
     rows = rows.withColumn("key", host_key("host")).withColumn("tie", F.xxhash64("id", "path"))
-    known = rules.where("host <> ''").select("host", "path", "verdict").withColumn("host", F.lower("host")).withColumn("key", host_key("host"))
+    known = rules.where("host <> '' AND verdict IS NOT NULL").select(lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").withColumn("key", host_key("host"))
     cuts = _cuts(rows, ranges)
     shared = spark.sparkContext.broadcast(cuts)
 
@@ -104,7 +124,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url: s
     both = page_rows.select("part", "key", F.lit(1).alias("kind"), "tie", "id", "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(
         rule_rows.select("part", "key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "host", "path", "verdict")
     )
-    dealt = both.repartition(ranges, "part").sortWithinPartitions("part", "key", "kind")
+    dealt = both.repartitionByRange(ranges, "part").sortWithinPartitions("part", "key", "kind")  # by hash, several parts would meet in one task
 
     def sweep(batches):
         now, own = None, Sweep()
