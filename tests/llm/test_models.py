@@ -217,6 +217,92 @@ def test_quality_classifier(spark):
     assert Q.score(empty, Q.train(empty, labels, F.lit(True)), [F.col("doc_id")]).count() == 0
 
 
+def naive_vector(text):
+    """A text's features, one by one."""
+    raw, classes = text.encode(), Q.CLASSES
+    kind = lambda b: next((i for i, c in enumerate(classes) if b in c), len(classes))
+    n = len(classes) + 1
+    grid = Counter((kind(a), kind(b)) for a, b in zip(raw, raw[1:] + b"\n"))
+    out = [math.sqrt(grid[i, j] / max(1, len(raw))) if raw else 0.0 for i in range(n) for j in range(n)]
+    ws = [w for w in __import__("re").split(rb"[ \t-\r]+", raw) if w]
+    if ws:
+        c, pairs = Counter(ws), list(zip(ws, ws[1:]))
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        out += [math.log1p(len(ws)), len(c) / len(ws), sum(a == b for a, b in pairs) / len(ws), max(c.values()) / len(ws), len(set(pairs)) / max(1, len(ws) - 1), sum(map(len, ws)) / len(ws) / 10, len(lines) / len(ws), 1 - len(set(lines)) / len(lines), max(map(len, ws)) / 100, 1.0]
+    else:
+        out += [0.0] * 10
+    mod = 1 << 64
+    h = [sum((b + 1) * pow(Q._BASE, i, mod) for i, b in enumerate(w)) % mod for w in ws]
+    bucket = lambda x: ((x ^ x >> 31) * Q._BASE % mod) >> 57
+    for found in ([bucket(x) for x in h], [bucket((x * 31 + y) % mod) for x, y in zip(h, h[1:])]):
+        c = Counter(found)
+        out += [math.sqrt(c[i] / max(1, len(ws))) for i in range(Q.BUCKETS)]
+    return out
+
+
+@pytest.mark.parametrize("part", [1 << 20, 7])
+def test_features_equal_the_naive_ones(monkeypatch, part):
+    monkeypatch.setattr(Q, "PART", part)
+    rnd = random.Random(6)
+    texts = ["", " ", "a", "a b", "Ab, 12!\n\nç—x\tA a a a", " lead and trail \n"] + ["".join(rnd.choice("ab AB1.#é\n") for _ in range(rnd.randrange(200))) for _ in range(40)]
+    got = Q.features([t.encode() for t in texts])
+    assert np.allclose(got, [naive_vector(t) for t in texts], atol=1e-6)
+
+
+@pytest.mark.parametrize("prior,turned", [(None, False), (0.3, False), (0.95, True)])
+def test_the_gradient_is_that_of_the_risk(prior, turned):
+    rng = np.random.default_rng(3)
+    w = [rng.standard_normal(s) for s in ((6, 4), (4,), (4,), (1,))]
+    xp, xu = rng.standard_normal((9, 6)) - 2 * turned, rng.standard_normal((12, 6))
+    w = [np.abs(x) for x in w[:3]] + [w[3] * 0 - 3]
+    xp, xu = (np.abs(xp) / 4, -np.abs(xu)) if turned else (-np.abs(xp), np.abs(xu) / 4)
+    value, grads = Q.risk_and_gradient(w, xp, xu, prior, 1e-3)
+    s = lambda x: 1 / (1 + math.exp(-(sum(max(0.0, sum(a * b for a, b in zip(x, w[0][:, j])) + w[1][j]) * w[2][j] for j in range(4)) + w[3][0])))
+    plus = sum(-math.log(s(x)) for x in xp) / 9
+    minus_p, minus_u = sum(-math.log(1 - s(x)) for x in xp) / 9, sum(-math.log(1 - s(x)) for x in xu) / 12
+    risk = plus + minus_u if prior is None else prior * plus + minus_u - prior * minus_p if minus_u >= prior * minus_p else prior * minus_p - minus_u
+    assert (prior is not None and minus_u < prior * minus_p) == turned
+    assert value == pytest.approx(risk + 5e-4 * float((w[0] ** 2).sum() + (w[2] ** 2).sum()))
+    for i, g in enumerate(grads):
+        for at in np.ndindex(*w[i].shape):
+            ends = []
+            for d in (1e-6, -1e-6):
+                moved = [x.copy() for x in w]
+                moved[i][at] += d
+                ends.append(Q.risk_and_gradient(moved, xp, xu, prior, 1e-3)[0])
+            assert g[at] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_threshold_has_the_least_risk(seed):
+    rng = np.random.default_rng(seed)
+    p, u = np.round(rng.normal(2, 1, 40), 1), np.round(np.concatenate([rng.normal(2, 1, 60), rng.normal(-2, 1, 30)]), 1)
+    prior = [0.3, 0.6, 0.67, 0.8, 0.95, 0.98][seed]
+    risk = lambda t: prior * sum(x < t for x in p) / 40 + max(0, sum(x >= t for x in u) / 90 - prior * sum(x >= t for x in p) / 40)
+    got = Q.threshold(p, u, prior)
+    every = sorted({*p, *u})
+    cuts = [every[0] - 1] + [(a + b) / 2 for a, b in zip(every, every[1:])]
+    least = min(map(risk, cuts))
+    best = [c for c in cuts if risk(c) < least + 1e-9]
+    assert min(abs(got - c) for c in best) < 1e-9 and abs(got - (best[0] + best[-1]) / 2) <= min(abs(c - (best[0] + best[-1]) / 2) for c in best) + 1e-9
+
+
+def test_scores_equal_the_naive_ones(spark):
+    rows = quality_rows(120)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(500, None), (501, "")] + [(7, "ko ma ti.")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(good)) for i, _, _, good in rows if i % 2], "doc_id long, quality int")
+    model = Q.train(docs, labels, F.lit(True))
+    a, b, c, d = model.network.weights
+    got = Q.score(docs, model, [F.col("doc_id"), F.coalesce("text", F.lit("")).alias("t")]).collect()
+    assert len(got) == 152
+    for r in got[::5] + got[-32:]:
+        x = np.clip((np.array(naive_vector(r["t"])) - model.network.mean) / model.network.scale, -6, 6)
+        x[-2 * Q.BUCKETS :] *= Q.LEXICAL
+        z = np.maximum(x @ a + b, 0) @ c + d[0]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+    assert len({r["score"] for r in got if r["t"] == ""}) == 1
+
+
 def naive_measures(text):
     ws, run = [], ""
     for c in text + " ":
