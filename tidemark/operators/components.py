@@ -25,13 +25,17 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     """``rows`` (``total`` of them) inner-joined with ``table``, which has one row a key and, as ``count``, how many of ``rows`` have it.
 
     Keys on more than ``total / HUBS`` rows, at most HUBS of them, are
-    broadcast, so their rows stay where they are; no task of the other join gets more
+    broadcast; in the join that follows their rows are spread by a salt that finds nothing, so no task gets more
     than that many rows of one key.  ``count`` isn't in the result.
     """
     most = max(LEAST, -(-total // HUBS))
-    hubs = F.broadcast(table.where(F.col(count) > most).drop(count))
-    other = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
-    return rows.join(hubs, key).unionByName(other.join(table.where(F.col(count) <= most).drop(count), key))
+    values = F.struct(*[c for c in table.columns if c not in (key, count)])
+    hubs = table.where(F.col(count) > most).select(key, values.alias("__hub"))
+    others = table.where(F.col(count) <= most).select(key, F.lit(0).alias("__salt"), values.alias("__other"))
+    salt = F.when(F.col("__hub").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1009))).cast("int")
+    met = rows.join(F.broadcast(hubs), key, "left").withColumn("__salt", salt).join(others, [key, "__salt"], "left")
+    found = F.coalesce("__hub", "__other")
+    return met.where(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in table.columns if c not in (key, count)])
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
