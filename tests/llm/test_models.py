@@ -233,7 +233,7 @@ def naive_vector(text):
         out += [0.0] * 10
     mod = 1 << 64
     h = [sum((b + 1) * pow(Q._BASE, i, mod) for i, b in enumerate(w)) % mod for w in ws]
-    bucket = lambda x: ((x ^ x >> 31) * Q._BASE % mod) >> 57
+    bucket = lambda x: ((x ^ x >> 31) * Q._BASE % mod) // (mod // Q.BUCKETS)
     for found in ([bucket(x) for x in h], [bucket((x * 31 + y) % mod) for x, y in zip(h, h[1:])]):
         c = Counter(found)
         out += [math.sqrt(c[i] / max(1, len(ws))) for i in range(Q.BUCKETS)]

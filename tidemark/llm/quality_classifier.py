@@ -44,7 +44,7 @@ _CLASS = np.full(256, N_CLASSES - 1, np.uint8)
 for _i, _chars in enumerate(CLASSES):
     _CLASS[list(_chars)] = _i
 N_WORD_FEATURES = 10
-BUCKETS = 128  # of words, and as many of pairs of neighbouring words
+BUCKETS = 64  # of words, and as many of pairs of neighbouring words
 N_FEATURES = N_CLASSES * N_CLASSES + N_WORD_FEATURES + 2 * BUCKETS
 LEXICAL = 0.3  # weight of a bucket beside that of other features: there are many, and each says little
 _WEIGHT = np.concatenate([np.ones(N_FEATURES - 2 * BUCKETS), np.full(2 * BUCKETS, LEXICAL)]).astype(np.float32)
@@ -136,7 +136,11 @@ class Network:
         self.mean, self.scale, self.weights = mean, scale, weights
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6) * _WEIGHT
+        out = x - self.mean
+        out /= self.scale
+        np.clip(out, -6, 6, out=out)
+        out *= _WEIGHT
+        return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.weights
@@ -201,9 +205,11 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed
 
     The mean of ``networks`` such networks from other beginnings varies less than one; being a sum, it is one wider network.
     """
-    both = np.concatenate([positives, unlabelled])
-    net = Network(both.mean(0), both.std(0) + 1e-3, [])
-    p, u = net.hidden(positives).astype(np.float32), net.hidden(unlabelled).astype(np.float32)
+    n = len(positives) + len(unlabelled)
+    mean = sum(x.sum(0, dtype=np.float64) for x in (positives, unlabelled)) / n
+    square = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (positives, unlabelled)) / n
+    net = Network(mean.astype(np.float32), np.sqrt(np.maximum(square - mean * mean, 0)).astype(np.float32) + np.float32(1e-3), [])
+    p, u = net.hidden(positives), net.hidden(unlabelled)
     found = [_descend(p, u, prior, np.random.default_rng((seed, i)), units, steps, rate, decay) for i in range(networks)]
     a, b, c, d = zip(*found, strict=True)
     net.weights = [np.concatenate(a, 1), np.concatenate(b), np.concatenate(c) / np.float32(networks), np.mean(d, 0, dtype=np.float32)]
@@ -281,10 +287,11 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text",
     vectors = rows.mapInArrow(run, "y int, id string, x binary")
     found = vectors.groupBy("y", "id").agg(F.min("x").alias("x")).toArrow()  # a row an id, so as many as were chosen
     y = found.column(0).to_numpy()
-    x = np.frombuffer(b"".join(found.column(2).to_pylist()), np.float32).reshape(-1, N_FEATURES)
+    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32, len(c) * N_FEATURES, 4 * c.offset * N_FEATURES) for c in found.column(2).chunks] or [np.zeros(0, np.float32)]).reshape(-1, N_FEATURES)
     order = np.lexsort((np.array(found.column(1).to_pylist(), object).astype(str), y))  # the same order on any run
     order = np.random.default_rng(seed).permutation(order)
     positives, unlabelled = x[order[y[order] == 1]], x[order[y[order] == 0]]
+    del found, x
     if not len(positives) or not len(unlabelled):
         return QualityModel(None, 0.5)
     prior = estimate_prior(positives, unlabelled, seed)
