@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,15 +14,16 @@ from tidemark.functions import cells, predicates, units
 from tidemark.operators import molecules
 from tidemark.operators.pairs import PairSummary, band_pairs, neighbour_counts, pair_budget, points, tanimoto_pairs
 from tidemark.plans.config import AuditConfig
-from tidemark.plans.findings import EVIDENCE, AuditReport, Planner, metadata
+from tidemark.plans.findings import DETAILS, EVIDENCE, AuditReport, Planner, metadata
+from tidemark.runtime import materialise
 from tidemark.sources.tables import ROW, Table, bind
 
 # What names of identifier columns look like.
 IDENTIFIER_NAME = re.compile(r"(^id$|_id$|^id_|index|identifier|uuid|barcode)", re.I)
 # Texts that stand in for a source.
 PLACEHOLDERS = ["unknown", "n/a", "na", "none", "todo", "tbd", "unspecified"]
-MOST_LABELS = 10_000  # distinct unit labels of one column
-MOST_CONFLICTS = 100_000  # conflicting groups that become findings; conflicting_groups() has them all as a DataFrame
+MOST_LABELS = 10_000  # distinct unit labels of one column that get findings of their own; beyond, labels are read row by row and a finding is made for each outcome
+MOST_CONFLICTS = 10_000  # conflicting groups that get findings of their own; all others make up one more
 LIMITATIONS = [
     "Checks that were configured can't certify that data are valid or free of causal leakage.",
     "Evidence shows at most 20 rows a finding; the positions of affected rows are complete.",
@@ -30,6 +32,39 @@ LIMITATIONS = [
 ]
 
 
+class ManyLabels:
+    """Units that are read row by row, in Arrow batches, where a column has too many labels to list."""
+
+    def __init__(self, wanted: str, aliases: dict[str, str]):
+        def outcome(label: str | None):
+            if label is None:
+                return None, None, None
+            source = aliases.get(label.strip(), label.strip())
+            try:
+                affine = units.conversion(source, wanted)
+            except units.UnknownUnit:
+                return "unknown", None, None
+            return ("incompatible", None, None) if affine is None else ("same" if source == wanted else "converted", *affine)
+
+        @F.pandas_udf("status string, s double, o double")
+        def read(labels: pd.Series) -> pd.DataFrame:
+            known = {x: outcome(x) for x in labels.unique()}
+            return pd.DataFrame([known[x] for x in labels], columns=["status", "s", "o"])
+
+        self.read = read
+
+
+def _listed(name: str, values: DataFrame):
+    """A detail with the first DETAILS values by row; it says so if there are more."""
+
+    def late() -> dict:
+        first = values.orderBy(ROW).limit(DETAILS + 1).collect()
+        cut = {f"{name}_truncated": True} if len(first) > DETAILS else {}
+        return {name: {str(r[0]): r[1] for r in first[:DETAILS]}} | cut
+
+    return late
+
+
 def audit(data, config: AuditConfig | None = None, *, order_by=None, id_column: str | None = None) -> AuditReport:
     """Run all configured checks over ``data`` (a DataFrame); it isn't changed.
 
@@ -68,7 +103,7 @@ class Audit:
         label = cells.text(*self.t.lookup(rule["column"]))
         seen = self.t.df.where(~self.t.missing(rule["column"])).groupBy(label.alias("label")).agg(F.min(ROW).alias("at")).orderBy("at").limit(MOST_LABELS + 1).collect()
         if len(seen) > MOST_LABELS:
-            raise ValueError(f"{rule['column']!r} has over {MOST_LABELS} distinct unit labels.")
+            return ManyLabels(wanted, dict(self.c.unit_aliases))
         out = {}
         for r in seen:
             source = self._alias(r["label"])
@@ -90,6 +125,9 @@ class Audit:
             return self.t.lookup(name)
         found = self.canonical[name]
         value = self.t.number(name)
+        if isinstance(found, ManyLabels):
+            own = found.read(cells.text(*self.t.lookup(self.c.units[name]["column"])))
+            return value * own["s"] + own["o"], T.DoubleType()
         usable = {k: v for k, v in (found or {}).items() if v[2] is not None}
         if not usable:
             return F.lit(None).cast("double"), T.DoubleType()
@@ -130,8 +168,12 @@ class Audit:
             label = cells.text(*self.t.lookup(rule["column"]))
             self.p.mask("missing_unit", "error", pair, absent, "Some measurements have no unit.", "Take the units from the source.")
             self.p.mask("unit_mismatch", "warning", pair, ~absent & (cells.strip(label) != rule["expected"].strip()), "Some unit labels aren't the canonical one.", "Look at how these values were converted before pooling them.", {"expected": expected})
-            for text, (source, status, _, _) in found.items():
-                here = ~absent & (label == text)
+            if isinstance(found, ManyLabels):
+                status = found.read(label)["status"]
+                outcomes = [("various", x, ~absent & (status == x)) for x in ("converted", "incompatible", "unknown")]
+            else:
+                outcomes = [(source, status, ~absent & (label == text)) for text, (source, status, _, _) in found.items()]
+            for source, status, here in outcomes:
                 if status == "converted":
                     self.p.mask("unit_conversion", "info", pair, here, "Values were converted for the numeric checks; the data are as they were.", "Convert to the canonical unit before further work.", {"from": source, "to": expected}, self._converted(name, here))
                 elif status == "incompatible":
@@ -298,13 +340,23 @@ class Audit:
             return
 
         def report():
-            groups = self.conflicting_groups()
-            found = groups.orderBy("first").limit(MOST_CONFLICTS + 1).collect()
-            if len(found) > MOST_CONFLICTS:
-                raise ValueError(f"Over {MOST_CONFLICTS} groups conflict; take them from conflicting_groups(), a DataFrame.")
-            for g in found:
-                same = reduce(lambda a, b: a & b, [t.key(i) == F.lit(g[f"k{n}"]).cast(t.kinds[i]) for n, i in enumerate(c.identity_columns)])
-                self.p.add("conflicting_samples", "error", [*c.identity_columns, *[c.conflict_columns[i] for i in g["columns"]]], t.rows(same), g["n"], "Records of one observation disagree.", "Settle versions, conditions and replicates; don't simply average.", {"absolute_tolerance": c.conflict_tolerance})
+            groups = materialise(self.conflicting_groups(), "conflicts")
+            shown = groups.orderBy("first").limit(MOST_CONFLICTS).collect()
+            if not shown:
+                return
+            keys = [f"k{n}" for n in range(len(c.identity_columns))]
+            rows = t.df.select(ROW, *[t.key(i).alias(k) for i, k in zip(c.identity_columns, keys, strict=True)])
+            members = materialise(rows.join(groups.select(F.col("first").alias("value"), *keys), keys).select("value", ROW), "members")
+
+            def add(columns: list[str], own: DataFrame, n: int, more: dict, **source) -> None:
+                self.p.add("conflicting_samples", "error", [*c.identity_columns, *columns], own.select(ROW), n, "Records of one observation disagree.", "Settle versions, conditions and replicates; don't simply average.", {"absolute_tolerance": c.conflict_tolerance} | more, **source)
+
+            for g in shown:
+                add([c.conflict_columns[i] for i in g["columns"]], members.where(F.col("value") == g["first"]), g["n"], {}, among=(members, g["first"]))
+            rest = groups.where(F.col("first") > shown[-1]["first"])
+            count, n = rest.agg(F.count("*"), F.sum("n")).first() if len(shown) == MOST_CONFLICTS else (0, 0)
+            if count:  # as many groups as there are, in one finding
+                add(list(c.conflict_columns), members.where(F.col("value") > shown[-1]["first"]), n, {"groups": count}, values_df=rest)
 
         self.p.then(report)
 
@@ -378,7 +430,7 @@ class Audit:
         if not self._gate("molecular_identity", c.smiles_column, "No smiles_column is configured."):
             return
         smiles = cells.text(*t.lookup(c.smiles_column)) if isinstance(t.kinds[c.smiles_column], T.StringType) else F.lit(None).cast("string")
-        known = molecules.describe(t.df.select(smiles))  # raises without a backend
+        known = materialise(molecules.describe(t.df.select(smiles)), "molecules")  # raises without a backend
         rows = t.df.select(ROW, F.when(~t.missing(c.smiles_column), smiles).alias("smiles"), self._label().alias("label")).join(known, "smiles", "left")
         if c.molecular_similarity is not None:
             self.ran.append("molecular_similarity")
@@ -409,11 +461,10 @@ class Audit:
         rows, odd, own = self._points(c.density_columns, c.density_scales)
 
         def report():
-            few = neighbour_counts(rows, own, c.density_radius).where(F.col("neighbours") < c.min_neighbors)
+            few = materialise(neighbour_counts(rows, own, c.density_radius).where(F.col("neighbours") < c.min_neighbors), "sparse")
             n = few.count()
             if n:
-                late = lambda: {"counts": {str(r[0]): r[1] for r in few.orderBy(ROW).collect()}}
-                self.p.add("sparse_neighborhood", "info", c.density_columns, few.select(ROW), n, "Rows have few neighbours in the scaled space.", "Look at joint coverage, and whether repeats are independent.", {"radius": c.density_radius, "min_neighbors": c.min_neighbors}, late)
+                self.p.add("sparse_neighborhood", "info", c.density_columns, few.select(ROW), n, "Rows have few neighbours in the scaled space.", "Look at joint coverage, and whether repeats are independent.", {"radius": c.density_radius, "min_neighbors": c.min_neighbors}, _listed("counts", few), values_df=few)
 
         self.p.then(report)
         self.p.mask("density_not_evaluable", "warning", c.density_columns, odd, "Rows with invalid values have no neighbourhood.", "Recover the measurements before judging coverage.")
@@ -438,10 +489,8 @@ class Audit:
             negative = reduce(lambda a, b: a | b, [v < 0 for v in values])
             bad = whole.isNotNull() & (negative | (F.abs(whole - float(total)) > float(tolerance)))
 
-            def late(bad=bad, whole=whole):
-                return {"sums": {str(r[0]): r[1] for r in self.t.df.where(F.coalesce(bad, F.lit(False))).select(ROW, whole).orderBy(ROW).collect()}}
-
-            self.p.mask("composition_error", "error", names, bad, "A part is negative, or the parts don't add up.", "Check basis, units, omitted parts and rounding.", {"total": total, "absolute_tolerance": tolerance}, late)
+            sums = self.t.df.where(F.coalesce(bad, F.lit(False))).select(ROW, whole.alias("sum"))
+            self.p.mask("composition_error", "error", names, bad, "A part is negative, or the parts don't add up.", "Check basis, units, omitted parts and rounding.", {"total": total, "absolute_tolerance": tolerance}, _listed("sums", sums), values_df=sums)
             self.p.mask("composition_not_evaluable", "warning", names, whole.isNull(), "A part is missing or invalid.", "Recover it before reading the sum.")
 
     def _weak(self) -> None:

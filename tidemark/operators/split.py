@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import math
 import random
+from array import array
 from collections.abc import Sequence
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import cells
 from tidemark.operators import molecules
-from tidemark.operators.components import connected_components
+from tidemark.operators.components import connected_components, look_up
 from tidemark.plans.config import SplitConfig
 from tidemark.plans.findings import JsonResult, json_safe, metadata
 from tidemark.runtime import materialise
@@ -71,14 +74,11 @@ def row_components(rows: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFr
     """
     if not key_sets:
         return rows.select(ROW, F.col(ROW).alias("component"))
-    firsts = []
+    firsts, total = [], rows.count()
     for keys in key_sets:
-        least = rows.groupBy(*keys).agg(F.min(ROW).alias("component")).toDF(*[f"g_{k}" for k in keys], "component")
-        same = None
-        for k in keys:
-            one = F.col(k).eqNullSafe(F.col(f"g_{k}"))
-            same = one if same is None else same & one
-        firsts.append(rows.join(least, same).select(ROW, "component"))
+        keyed = rows.select(ROW, F.struct(*keys).alias("key"))  # structs are equal where nulls in them meet
+        least = keyed.groupBy("key").agg(F.min(ROW).alias("component"), F.count("*").alias("n"))
+        firsts.append(look_up(keyed, least, "key", "n", total).select(ROW, "component"))
     if len(firsts) == 1:
         return firsts[0]
     links = firsts[0]
@@ -87,13 +87,16 @@ def row_components(rows: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFr
     return connected_components(links, ROW, "component").withColumnRenamed("node", ROW)
 
 
-def held_ranks(count: int, test_size: float, seed: int) -> list[int]:
-    """Which of ``count`` components, in order of their first rows, are held out: a seeded shuffle's first share."""
+def held_ranks(count: int, test_size: float, seed: int) -> np.ndarray:
+    """Which of ``count`` components, in order of their first rows, are held out: a seeded shuffle's first share.
+
+    The shuffle takes four bytes a component (eight from 2 ** 32 on) on the driver.
+    """
     if count < 2:
         raise ValueError("A holdout needs at least two independent groups.")
-    order = list(range(count))
+    order = array("I" if count < 1 << 32 else "Q", range(count))
     random.Random(seed).shuffle(order)
-    return sorted(order[: min(count - 1, max(1, math.ceil(count * test_size)))])
+    return np.sort(np.frombuffer(order, np.uint32 if order.itemsize == 4 else np.uint64)[: min(count - 1, max(1, math.ceil(count * test_size)))]).astype(np.int64)
 
 
 def split(data, config: SplitConfig, *, order_by=None, id_column: str | None = None) -> SplitResult:
@@ -165,7 +168,7 @@ class Splitter:
             from tidemark.sources.tables import number_rows
 
             ranked = number_rows(members.select("component").distinct().orderBy("component")).withColumnRenamed(ROW, "rank")
-            chosen = self.t.spark.createDataFrame([(r,) for r in held], "rank long")
+            chosen = self.t.spark.createDataFrame(pa.table({"rank": held}))
             test = ranked.join(chosen, "rank", "left_semi").select("component", F.lit(TEST).alias("label"))
             labels = members.join(test, "component", "left").select(ROW, "component", F.coalesce("label", F.lit(TRAIN)).alias("label"))
             self.diagnostics |= {"selection": "seeded holdout of connected groups", "requested_test_group_fraction": c.test_size, "heldout_components": len(held)}

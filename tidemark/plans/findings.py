@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import asdict
 from datetime import date, datetime
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.tables import ROW, Table
 
 EVIDENCE = 20  # rows shown for a finding
+DETAILS = 10_000  # values a detail lists; a finding's values_df has all
 FUSED = 150  # aggregates in one job
 
 
@@ -48,11 +50,17 @@ class JsonResult:
 
 
 class Finding:
-    """One finding.  ``rows_df`` has the positions of all its rows; ``rows`` and ``details`` run queries when first read."""
+    """One finding.  ``rows_df`` has the positions of all its rows, ``values_df`` what a check worked out for them, if anything.
 
-    def __init__(self, table: Table, code: str, severity: str, columns: list[str], message: str, suggestion: str, affected: int, rows_df: DataFrame, known: dict, late: Callable[[], dict] | None = None):
+    ``rows`` and ``details`` run queries when first read; ``rows`` brings all positions to the
+    driver, so it is for results that fit there, as are JSON and other reports.  ``mask`` says which rows of the
+    table are meant, ``among`` which of a table (value, row position) that several findings share.
+    """
+
+    def __init__(self, table: Table, code: str, severity: str, columns: list[str], message: str, suggestion: str, affected: int, rows_df: DataFrame, known: dict, late: Callable[[], dict] | None = None, mask: Column | None = None, among: tuple[DataFrame, int] | None = None, values_df: DataFrame | None = None):
         self.code, self.severity, self.columns, self.message, self.suggestion = code, severity, columns, message, suggestion
         self.affected_count, self.rows_df = affected, rows_df
+        self.mask, self.among, self.values_df = mask, among, values_df
         self._table, self._known, self._late = table, known, late
         self._rows: list[int] | None = None
         self._details: dict | None = None
@@ -102,12 +110,20 @@ class AuditReport(JsonResult):
 
     @property
     def finding_rows_df(self) -> DataFrame:
-        """``(seq, row position)`` of all findings, never collected."""
-        out = None
+        """``(seq, row position)`` of all findings, never collected: one scan for all masks, one join for findings that share a table."""
+        parts, masks, shared = [], [], {}
         for i, f in enumerate(self.findings):
-            own = f.rows_df.select(F.lit(i).alias("seq"), ROW)
-            out = own if out is None else out.unionByName(own)
-        return out if out is not None else self.table.spark.createDataFrame([], f"seq int, {ROW} long")
+            if f.mask is not None:
+                masks.append(F.when(f.mask, F.lit(i)))
+            elif f.among is not None:
+                shared.setdefault(id(f.among[0]), (f.among[0], []))[1].append((f.among[1], i))
+            else:
+                parts.append(f.rows_df.select(F.lit(i).alias("seq"), ROW))
+        for at in range(0, len(masks), FUSED):
+            parts.append(self.table.df.select(F.explode(F.array_compact(F.array(*masks[at : at + FUSED]))).alias("seq"), ROW))
+        for rows, numbers in shared.values():
+            parts.append(rows.join(F.broadcast(self.table.spark.createDataFrame(numbers, "value long, seq int")), "value").select("seq", ROW))
+        return reduce(DataFrame.unionByName, parts) if parts else self.table.spark.createDataFrame([], f"seq int, {ROW} long")
 
     def to_dict(self) -> dict:
         return json_safe({"n_rows": self.n_rows, "findings": [f.to_dict() for f in self.findings], "checks_run": self.checks_run, "checks_skipped": self.checks_skipped, "metadata": self.metadata})
@@ -130,10 +146,10 @@ class Planner:
     def got(self, handle: int):
         return self.values[handle]
 
-    def add(self, code: str, severity: str, columns: list[str], rows: DataFrame, affected: int, message: str, suggestion: str, known: dict | None = None, late: Callable[[], dict] | None = None) -> None:
-        self.findings.append(Finding(self.table, code, severity, columns, message, suggestion, affected, rows, known or {}, late))
+    def add(self, code: str, severity: str, columns: list[str], rows: DataFrame, affected: int, message: str, suggestion: str, known: dict | None = None, late: Callable[[], dict] | None = None, **source) -> None:
+        self.findings.append(Finding(self.table, code, severity, columns, message, suggestion, affected, rows, known or {}, late, **source))
 
-    def mask(self, code: str, severity: str, columns: list[str], mask: Column, message: str, suggestion: str, known: Callable[[int], dict] | dict | None = None, late: Callable[[], dict] | None = None, unless: Callable[[int], bool] | None = None) -> None:
+    def mask(self, code: str, severity: str, columns: list[str], mask: Column, message: str, suggestion: str, known: Callable[[int], dict] | dict | None = None, late: Callable[[], dict] | None = None, unless: Callable[[int], bool] | None = None, values_df: DataFrame | None = None) -> None:
         """Plan a finding over the rows where ``mask`` is true; reported if there are any, or as ``unless`` says of their number."""
         mask = F.coalesce(mask, F.lit(False))
         handle = self.want(F.count_if(mask))
@@ -143,7 +159,7 @@ class Planner:
             if not n if unless is None else unless(n):
                 return
             found = known(n) if callable(known) else dict(known or {})
-            self.add(code, severity, columns, self.table.rows(mask), n, message, suggestion, found, late)
+            self.add(code, severity, columns, self.table.rows(mask), n, message, suggestion, found, late, mask=mask, values_df=values_df)
 
         self.reports.append(report)
 

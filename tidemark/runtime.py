@@ -57,6 +57,13 @@ def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
     return out
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """A table made by :func:`materialise` with what was appended to its files since."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._tidemark_path)
+    out._tidemark_path = df._tidemark_path
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

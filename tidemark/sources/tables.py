@@ -141,7 +141,7 @@ def bind(data, order_by: str | Sequence[str] | None = None, id_column: str | Non
         else:
             if order_by is not None:
                 keys = [order_by] if isinstance(order_by, str) else list(order_by)
-                inner = inner.orderBy(*[f"c{names.index(k)}" for k in keys])
+                inner = inner.orderBy(*[f"c{names.index(k)}" for k in keys], *inner.columns)  # rows alike in the keys go by all columns
             df = number_rows(inner)
     else:
         raise ValueError("Give a DataFrame.")
