@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 #: One of each kind; the driver compares them all.
-COMPARED = ["missing_values", "invalid_numeric", "sparse_bins", "weak_provenance", "duplicate_split_overlap", "group_split_overlap", "conflicting_samples", "unit_conversion", "rule_unknown", "near_duplicate_findings", "density", "split_time_exclude", "components_of_suppliers", "row_violations"]
+COMPARED = ["missing_values", "invalid_numeric", "sparse_bins", "weak_provenance", "duplicate_split_overlap", "group_split_overlap", "conflicting_samples", "unit_conversion", "rule_unknown", "near_duplicate_findings", "density", "split_time_exclude", "components_of_suppliers", "row_violations", "strict_csv", "fingerprint", "reports", "command_line", "configurations", "impossible_requests", "presets", "molecule_findings", "tanimoto", "split_scaffold", "conflict_findings", "evidence", "pair_examples", "near_duplicates", "split_diagnostics_time", "split_diagnostics_seeded", "components", "audit_report"]
 
 
 def shown(frame):

@@ -124,3 +124,9 @@ def test_units_that_differ_or_are_unknown():
     for text in ("mystery", "", "m//s", "degC/s", "m**", "k", "(m"):
         with pytest.raises(units.UnknownUnit):
             units.parse(text)
+
+
+@pytest.mark.parametrize("source,target,value,expected", [("gallon", "L", 2, 7.570823568), ("yd", "m", 10, 9.144), ("cP", "Pa*s", 1, 0.001), ("degR", "K", 491.67, 273.15), ("kDa", "kg", 1, 1.6605390666e-24), ("rpm", "rad/s", 60, 6.283185307), ("MBq", "1/s", 3, 3e6), ("nkat", "mol/s", 5, 5e-9), ("delta_degC", "K", 7, 7), ("hp", "W", 1, 745.6998716), ("hectare", "m^2", 1, 1e4), ("year", "day", 1, 365.25), ("ppb", "ppm", 1000, 1), ("kgf", "N", 1, 9.80665), ("mSv", "J/kg", 4, 0.004), ("min", "s", 2, 120), ("ha", "acre", 1, 2.4710538147)])
+def test_units_of_laboratory_and_trade(source, target, value, expected):
+    scale, offset = units.conversion(source, target)
+    assert value * scale + offset == pytest.approx(expected, rel=1e-8)

@@ -348,15 +348,15 @@ class Audit:
             rows = t.df.select(ROW, *[t.key(i).alias(k) for i, k in zip(c.identity_columns, keys, strict=True)])
             members = materialise(rows.join(groups.select(F.col("first").alias("value"), *keys), keys).select("value", ROW), "members")
 
-            def add(columns: list[str], own: DataFrame, n: int, more: dict, **source) -> None:
-                self.p.add("conflicting_samples", "error", [*c.identity_columns, *columns], own.select(ROW), n, "Records of one observation disagree.", "Settle versions, conditions and replicates; don't simply average.", {"absolute_tolerance": c.conflict_tolerance} | more, **source)
+            def add(columns: list[str], own: Column, n: int, more: dict, **source) -> None:
+                self.p.add("conflicting_samples", "error", [*c.identity_columns, *columns], lambda: members.where(own).select(ROW), n, "Records of one observation disagree.", "Settle versions, conditions and replicates; don't simply average.", {"absolute_tolerance": c.conflict_tolerance} | more, **source)
 
             for g in shown:
-                add([c.conflict_columns[i] for i in g["columns"]], members.where(F.col("value") == g["first"]), g["n"], {}, among=(members, g["first"]))
+                add([c.conflict_columns[i] for i in g["columns"]], F.col("value") == g["first"], g["n"], {}, among=(members, g["first"]))
             rest = groups.where(F.col("first") > shown[-1]["first"])
             count, n = rest.agg(F.count("*"), F.sum("n")).first() if len(shown) == MOST_CONFLICTS else (0, 0)
             if count:  # as many groups as there are, in one finding
-                add(list(c.conflict_columns), members.where(F.col("value") > shown[-1]["first"]), n, {"groups": count}, values_df=rest)
+                add(list(c.conflict_columns), F.col("value") > shown[-1]["first"], n, {"groups": count}, values_df=rest)
 
         self.p.then(report)
 

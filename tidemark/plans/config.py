@@ -15,6 +15,7 @@ from tidemark.functions import predicates
 
 SEVERITIES = ("error", "warning", "info")
 STRATEGIES = ("composition", "scaffold", "laboratory", "time", "extrapolation")
+# Fixed value: how an absolute date or time begins.
 ISO_START = re.compile(r"\d{4}-\d{2}-\d{2}(?:T| |$)")
 
 

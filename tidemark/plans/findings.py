@@ -57,9 +57,9 @@ class Finding:
     table are meant, ``among`` which of a table (value, row position) that several findings share.
     """
 
-    def __init__(self, table: Table, code: str, severity: str, columns: list[str], message: str, suggestion: str, affected: int, rows_df: DataFrame, known: dict, late: Callable[[], dict] | None = None, mask: Column | None = None, among: tuple[DataFrame, int] | None = None, values_df: DataFrame | None = None):
+    def __init__(self, table: Table, code: str, severity: str, columns: list[str], message: str, suggestion: str, affected: int, rows_df: DataFrame | Callable[[], DataFrame], known: dict, late: Callable[[], dict] | None = None, mask: Column | None = None, among: tuple[DataFrame, int] | None = None, values_df: DataFrame | None = None):
         self.code, self.severity, self.columns, self.message, self.suggestion = code, severity, columns, message, suggestion
-        self.affected_count, self.rows_df = affected, rows_df
+        self.affected_count, self._rows_df = affected, rows_df
         self.mask, self.among, self.values_df = mask, among, values_df
         self._table, self._known, self._late = table, known, late
         self._rows: list[int] | None = None
@@ -68,6 +68,12 @@ class Finding:
     def __repr__(self):
         return f"Finding({self.code}, {self.severity}, {self.columns}, {self.affected_count} rows)"
 
+    @property
+    def rows_df(self) -> DataFrame:
+        if callable(self._rows_df):
+            self._rows_df = self._rows_df()
+        return self._rows_df
+
     @property
     def rows(self) -> list[int]:
         if self._rows is None:
@@ -146,7 +152,7 @@ class Planner:
     def got(self, handle: int):
         return self.values[handle]
 
-    def add(self, code: str, severity: str, columns: list[str], rows: DataFrame, affected: int, message: str, suggestion: str, known: dict | None = None, late: Callable[[], dict] | None = None, **source) -> None:
+    def add(self, code: str, severity: str, columns: list[str], rows: DataFrame | Callable[[], DataFrame], affected: int, message: str, suggestion: str, known: dict | None = None, late: Callable[[], dict] | None = None, **source) -> None:
         self.findings.append(Finding(self.table, code, severity, columns, message, suggestion, affected, rows, known or {}, late, **source))
 
     def mask(self, code: str, severity: str, columns: list[str], mask: Column, message: str, suggestion: str, known: Callable[[int], dict] | dict | None = None, late: Callable[[], dict] | None = None, unless: Callable[[int], bool] | None = None, values_df: DataFrame | None = None) -> None:
@@ -159,7 +165,7 @@ class Planner:
             if not n if unless is None else unless(n):
                 return
             found = known(n) if callable(known) else dict(known or {})
-            self.add(code, severity, columns, self.table.rows(mask), n, message, suggestion, found, late, mask=mask, values_df=values_df)
+            self.add(code, severity, columns, lambda: self.table.rows(mask), n, message, suggestion, found, late, mask=mask, values_df=values_df)
 
         self.reports.append(report)
 

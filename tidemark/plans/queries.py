@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.audit import Audit
-from tidemark.operators.pairs import band_pairs, neighbour_counts, points
+from tidemark.operators.pairs import neighbour_counts
 from tidemark.operators.split import held_ranks, row_components, split
 from tidemark.plans.config import AuditConfig, SplitConfig
 from tidemark.plans.findings import Finding
@@ -321,18 +321,6 @@ PRICE_SQL = f"p AS (SELECT p_partkey, p_retailprice AS price, p_size, {PART3.for
 MANY = 10**18
 
 
-@_query(f"WITH {PRICE_SQL} SELECT a.p_partkey AS i, b.p_partkey AS j FROM p a JOIN p b ON a.p_partkey < b.p_partkey AND abs(a.price - b.price) <= 0.5 AND a.p_size = b.p_size")
-def near_duplicates(spark, sf_dir):
-    own = _read(spark, sf_dir, "part", *PRICES).where("price < double('Infinity')").selectExpr(f"p_partkey AS {ROW}", "price AS x0", "double(p_size) AS x1")
-    pts = points(own, ["x0", "x1"])
-    links = band_pairs(pts, {"x0": 0.5, "x1": 0.0})
-    ids = own.join(pts.select("point", "x0", "x1"), ["x0", "x1"]).select(F.col(ROW).alias("id"), "point")
-    a, b = ids.withColumnRenamed("id", "x").withColumnRenamed("point", "a"), ids.withColumnRenamed("id", "y").withColumnRenamed("point", "b")
-    far = links.join(a, "a").join(b, "b").select("x", "y")
-    same = a.withColumn("b", F.col("a")).join(b, "b").where("x < y").select("x", "y")
-    return far.unionByName(same).select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-
-
 @_query(f"""
 WITH {PRICE_SQL}, q AS (SELECT a.p_partkey AS i, b.p_partkey AS j, a.part AS x, b.part AS y FROM p a JOIN p b ON a.p_partkey < b.p_partkey AND abs(a.price - b.price) <= 0.5 AND abs(a.p_size - b.p_size) <= 1)
 SELECT code, n_pairs, n_rows FROM (
@@ -443,12 +431,6 @@ def split_diagnostics(spark, sf_dir):
     return _summary(spark, [(d["n_train"], d["n_test"], d["n_excluded"], *d["observed_ranges"]["test"])], "n_train long, n_test long, n_excluded long, low double, high double")
 
 
-@_query()
-def components(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").selectExpr(f"o_orderkey AS {ROW}", "o_custkey % 400 AS a", "o_orderkey div 50 AS b")
-    return row_components(rows, [["a"], ["b"]]).select(F.col(ROW).alias("o_orderkey"), "component")
-
-
 @_query("""
 WITH RECURSIVE n AS (SELECT s_suppkey AS id, s_nationkey AS a, s_suppkey // 2 AS b FROM supplier),
 s AS (SELECT DISTINCT x.id AS u, y.id AS v FROM n x JOIN n y ON x.a = y.a OR x.b = y.b),
@@ -472,19 +454,3 @@ SELECT c_custkey, coalesce(list_aggregate([x FOR x IN [CASE WHEN c_custkey % 17
 def row_violations(spark, sf_dir):
     df = _read(spark, sf_dir, "customer", "c_custkey", f"{SEGMENT} AS seg", "c_acctbal")
     return violations(df, AuditConfig(bounds={"c_acctbal": [0, None]})).select("c_custkey", F.array_join("violations", ",").alias("found"))
-
-
-@_query()
-def fingerprint(spark, sf_dir):
-    table = bind(_read(spark, sf_dir, "nation"), order_by="n_nationkey")
-    return _summary(spark, [(table.fingerprint(), table.n)], "dataset_sha256 string, n long")
-
-
-@_query()
-def audit_report(spark, sf_dir):
-    """The full report over a table with several kinds of defect."""
-    from tidemark.operators.audit import audit
-
-    df = _read(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal AS v", f"{UNIT} AS u", "s_nationkey", f"{PART3.format('s_suppkey')} AS part")
-    config = AuditConfig(**UNIT_CONFIG, bounds={"v": [0, None]}, split_column="part", group_columns=["s_nationkey"], duplicate_columns=["s_nationkey"])
-    return audit(df, config).findings_df.withColumn("columns", F.array_join("columns", ","))
