@@ -123,7 +123,7 @@ def brute(rows, threshold=0.93):
 @pytest.mark.parametrize("block", [1024, 8])
 def test_vectors_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(E, "BLOCK", block)
-    monkeypatch.setattr(E, "VISITORS", 2 * block)
+    monkeypatch.setattr(E, "VISITORS", block)
     rows = [*vectors(), (900, None, 0), (901, [0.0] * 16, 0), (902, [1.0, float("nan")] + [0.0] * 14, 0), (903, [1.0, None] + [0.0] * 14, 0), (904, vectors()[0][1], None), (905, [3.0, 4.0], 0), (906, [6.0, 8.0], 0), (907, [], 0)]
     rows = [(i, v, k) for i, v, k in rows]
     df = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "vec_id long, embedding array<float>, label int, v double, n int")

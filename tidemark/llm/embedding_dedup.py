@@ -39,8 +39,8 @@ from tidemark.llm.common import few, hash_share
 from tidemark.operators.components import connected_components, look_up
 from tidemark.runtime import materialise
 
-BLOCK = 1024  # residents of a cell in one task
-VISITORS = 4096  # visitors of a cell in one task
+BLOCK = 512  # residents of a cell in one task
+VISITORS = 512  # visitors of a cell in one task
 CELL = 64  # vectors of a label to a cell of the grid, so that the codebooks grow with the root of the data
 INDEXED = 64  # vector lengths that get an index; vectors of other lengths share one cell a length and label, in blocks
 
