@@ -279,3 +279,10 @@ def test_pieces_and_folds(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 5, None, "é", "b" * 9])], names=["t"])
     assert [texts for _, texts in pieces([batch], "t", 7)] == [[b"aaaaa", b"", "é".encode()], [b"b" * 9]]
     assert [r[0] for r in spark.createDataFrame([(None,), (5,)], "i long").select(fold("i", 4)).collect()] == [-1, __import__("zlib").crc32(b"5") % 4]
+
+
+def test_a_token_spelt_like_the_unknown_piece():
+    tokens = [bytes([b]) for b in range(256)] + [b"un", b"unk", b"<unk", b"<unk>"]
+    own = byte_bpe.Codec({t: i for i, t in enumerate(tokens)}, r"\S+|\s+")
+    ids = own.encode(["a <unk> <unkb <<unk>>"])[0]
+    assert own.decode(ids) == b"a <unk> <unkb <<unk>>" and 259 in ids and 258 in ids and ids.max() < 260

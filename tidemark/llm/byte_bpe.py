@@ -66,11 +66,13 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     by_rank = sorted(ranks.items(), key=lambda x: x[1])
     if [r for _, r in by_rank] != list(range(len(by_rank))):
         raise ValueError("ranks must run from 0 without a gap")
-    out = bytearray()
+    out, unknown = bytearray(), "<unk>"
+    pieces_ = {token: "".join(chars[b] for b in token) for token, _ in by_rank}
+    while unknown in pieces_.values():  # a token may be spelt like it
+        unknown = f"<{unknown}>"
     for token, rank in by_rank:
-        piece = "".join(chars[b] for b in token).encode()
-        out += _field(1, _field(1, piece) + b"\x15" + struct.pack("<f", -float(rank)))
-    out += _field(1, _field(1, b"<unk>") + b"\x15" + struct.pack("<f", 0.0) + _number(3, 2))
+        out += _field(1, _field(1, pieces_[token].encode()) + b"\x15" + struct.pack("<f", -float(rank)))
+    out += _field(1, _field(1, unknown.encode()) + b"\x15" + struct.pack("<f", 0.0) + _number(3, 2))
     bpe, size, unk, none = 2, len(ranks) + 1, len(ranks), (1 << 64) - 1
     out += _field(2, _number(3, bpe) + _number(4, size) + _number(40, unk) + b"".join(_number(f, none) for f in (41, 42, 43)))
     out += _field(3, _field(1, b"identity") + _number(3, 0) + _number(4, 0) + _number(5, 0))
