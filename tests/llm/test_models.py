@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -61,6 +62,17 @@ def test_probabilities_add_up_and_the_trie_is_bounded():
     assert p.sum(1) == pytest.approx(np.ones((len(p), 2)), rel=1e-5) and len(p) == 20
 
 
+def test_a_trie_is_frozen_in_a_few_times_its_size():
+    rng = np.random.default_rng(3)
+    counts = ppm.count_windows([rng.integers(0, 200, 60_000, np.uint8).tobytes()], 2)
+    by_length = ppm.shorter([counts], 2)
+    tracemalloc.start()
+    trie = ppm.Trie.freeze(by_length, 30_000, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert trie.lengths.nbytes > 20 << 20 and peak < 4.5 * trie.lengths.nbytes
+
+
 def test_windows_in_spark(spark):
     texts = [b"abab", b"", b"\xc3\xa4" * 5, b"abab"]
     df = spark.createDataFrame([(0, bytearray(t)) for t in texts], "model int, text binary").repartition(3)

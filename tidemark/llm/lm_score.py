@@ -120,6 +120,8 @@ def score(docs: DataFrame, where: Column, columns: list[Column], text: str = "te
     tokens, kinds = n_words + n_texts, distinct + (n_texts > 0)
     below, end_log, end_known = math.log10(tokens + kinds + 1), math.log10(n_texts + 1), int(n_texts > 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del model  # the driver needs it no more
+    pa.default_memory_pool().release_unused()
     extra = pa.schema([("__row", pa.int64()), ("__tokens", pa.int64()), ("__known", pa.int64()), ("__base", pa.float64()), ("__bits", pa.float64()), ("__rare", pa.list_(pa.int64())), ("__times", pa.list_(pa.int32())), ("__cold", pa.list_(pa.int64())), ("__often", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -159,6 +161,7 @@ def score(docs: DataFrame, where: Column, columns: list[Column], text: str = "te
     for name, kind in (("__row", "long"), ("__tokens", "long"), ("__known", "long"), ("__base", "double"), ("__bits", "double"), ("__rare", T.ArrayType(T.LongType())), ("__times", T.ArrayType(T.IntegerType())), ("__cold", T.ArrayType(T.LongType())), ("__often", T.ArrayType(T.IntegerType()))):
         shape = shape.add(name, kind)
     per_doc = materialise(docs.select(*columns, as_bytes(text).alias("__text")).mapInArrow(run, shape), "scores")
+    shared.destroy()  # the table is written: nothing reads the model again
 
     def exploded(keys: str, times: str) -> DataFrame:
         pairs = per_doc.select("__row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("x"))

@@ -117,9 +117,9 @@ class Trie:
         for k in range(1, order + 1):
             own = np.arange(base[k], base[k + 1])
             links.append((parents[own], rank[nodes[k] >> (8 * (k - 1))], own))
-        lengths = np.empty((n, width, len(counts)), np.float32)
-        for m in range(len(counts)):
-            lengths[:, :, m] = _code_lengths(_dense([per[m] for per in by_length], nodes, base, rank, width), parents, base)
+        each = [_code_lengths(_dense([per[m] for per in by_length], nodes, base, rank, width), parents, base) for m in range(len(counts))]
+        lengths = np.stack(each, 2) if len(each) > 1 else each[0][:, :, None]  # one model's table isn't copied: it is what takes most memory
+        del each
         marks = []
         for k, (ctx, older) in enumerate(cold or []):
             marks.append((base[k] + np.searchsorted(nodes[k], ctx), rank[older]))
@@ -206,7 +206,7 @@ def _code_lengths(counts: np.ndarray, parents: np.ndarray, base: np.ndarray) ->
     seen c times has probability (2c - 1) / 2n and the escape d / 2n.
     """
     n, width = counts.shape
-    prob, after = np.empty((n, width), np.float32), np.empty((n, width), np.float32)
+    prob, after = np.empty((n, width), np.float32), np.empty((int(base[-2]), width), np.float32)  # the longest contexts have none below them
     for k in range(len(base) - 1):
         for lo in range(int(base[k]), int(base[k + 1]), 4096):
             own = np.arange(lo, min(lo + 4096, int(base[k + 1])))
@@ -219,9 +219,12 @@ def _code_lengths(counts: np.ndarray, parents: np.ndarray, base: np.ndarray) ->
                 total, kinds = up.sum(1, keepdims=True), (up > 0).sum(1, keepdims=True)
                 rest = np.where(up > 0, (2 * up - 1) / np.maximum(2 * total, 1), np.where(total > 0, kinds / np.maximum(2 * total, 1), 1.0) * after[parents[own]])
             total, kinds = c.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            after[own] = rest
+            if lo < len(after):
+                after[own] = rest
             prob[own] = np.where(seen, (2 * c - 1) / np.maximum(2 * total, 1), np.where(total > 0, kinds / np.maximum(2 * total, 1), 1.0) * rest)
-    return -np.log2(np.maximum(prob, 1e-30))
+    np.maximum(prob, 1e-30, out=prob)
+    np.log2(prob, out=prob)
+    return np.negative(prob, out=prob)
 
 
 COUNTS = pa.schema([("model", pa.int32()), ("key", pa.int64()), ("cnt", pa.int64())])
