@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -393,6 +394,24 @@ def test_cutoffs_hold_their_promise():
     assert acted > 40 and broken <= 60 * 0.1 + 4
 
 
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_paths_are_laid_on_all_rows(spark, held):
+    """However many rows there are to lay paths on, none is left out, whether the driver holds their kinds or Spark counts them."""
+    rng = np.random.default_rng(5)
+    first = np.minimum(rng.integers(0, 400, (30_000, 5)), len(R.CUTOFFS))
+    good, group = rng.random(len(first)) < np.where(first.min(1) < 14, 0.05, 0.95), rng.integers(0, 2, len(first))
+    table = pa.table({"g": pa.array(group, pa.int32()), "good": pa.array(good), "first": pa.array(list(first), pa.list_(pa.int64()))})
+    paths = R.lay_paths(spark.createDataFrame(table), 2, 0.2, held)
+    assert paths == [R.lay_path(first[(group == g) & good], first[(group == g) & ~good], 0.2) for g in (0, 1)] and min(map(len, paths)) > 2
+
+
+def test_rules_learn_from_all_rows_whoever_counts_them(spark):
+    rows = [(i, t, int(good)) for i, t, _, good in quality_rows(1500)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    held, counted = (R.train(docs, labels, alpha=0.05, max_held=n).cutoffs for n in (100_000, 0))
+    assert (held == counted).all() and np.isfinite(held).any()
+
+
 def naive_rates(rows):
     """(id, base rule failed, band, rates) of each row."""
     seen = []

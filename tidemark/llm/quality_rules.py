@@ -2,7 +2,7 @@
 
 Each rule rejects a document when one of its measures passes a cutoff.  Cutoffs
 are chosen on labelled rows, for each stratum (band of length).  On one part of
-them (``fit_share``, by hash of the id, at most ``max_fit`` rows) a path is laid
+them (``fit_share``, by hash of the id) a path is laid
 out: a sequence of settings of all rules together, from none to ever
 stricter ones, each the move of one cutoff that rejects most bad rows
 for each good one.  The rest is the holdout: a setting is accepted as long as an exact binomial
@@ -16,7 +16,7 @@ documents.  A stratum whose holdout could not show that even without a
 rejected row is merged with the next longer one, the last with the one before;
 which are merged depends on numbers of rows alone.
 
-Only labelled rows are measured to train.  Counts of the holdout cover all of it, summed in
+Only labelled rows are measured to train, and all of them.  Paths are laid on counts of the whole first part; counts of the holdout cover all of it, summed in
 Spark; a table of (stratum, step) counts reaches the driver.
 
 Defined results: a null text has no word; a document without a word fails the
@@ -133,31 +133,71 @@ def first_rejected(m: np.ndarray) -> np.ndarray:
     return (rates(m)[:, :, None] <= np.array(CUTOFFS)).sum(2)
 
 
-def lay_path(good: np.ndarray, bad: np.ndarray, alpha: float) -> list[tuple[int, ...]]:
-    """Settings of increasing strictness: for each rule the number of its cutoff, -1 for off.
-
-    ``good`` and ``bad`` are :func:`first_rejected` of labelled rows.  Each step
-    moves one rule to the cutoff with most bad rows newly rejected for each
-    good one (and a half); of equal ones the laxer, and the rule that comes first.  The
-    path ends where no bad row is won, more good rows than bad ones would be
-    lost, or over 2 alpha of the good rows are.
-    """
+def _lay(left, alpha: float) -> list[tuple[int, ...]]:
+    """:func:`lay_path` from ``left(setting)``: how many good and bad rows a setting leaves, each by rule and :func:`first_rejected`."""
     setting, path, lost = [-1] * len(RULES), [], 0
     while True:
+        good, bad = left(setting)
         best = None
         for r in range(len(RULES)):
-            n_bad = np.cumsum(np.bincount(bad[:, r], minlength=len(CUTOFFS) + 1)[:-1])
-            n_good = np.cumsum(np.bincount(good[:, r], minlength=len(CUTOFFS) + 1)[:-1])
+            n_bad, n_good = np.cumsum(bad[r, :-1]), np.cumsum(good[r, :-1])
             score = np.where(n_bad > 0, n_bad / (n_good + 0.5), 0)
             c = int(score.argmax())
             if n_bad[c] and n_good[c] <= n_bad[c] and (best is None or score[c] > best[0]):
                 best = (score[c], r, c, int(n_good[c]))
-        if best is None or lost + best[3] > 2 * alpha * (lost + len(good)) + 1:
+        if best is None or lost + best[3] > 2 * alpha * (lost + int(good[0].sum())) + 1:
             return path
         _, r, c, n = best
         setting[r], lost = c, lost + n
         path.append(tuple(setting))
-        good, bad = good[good[:, r] > c], bad[bad[:, r] > c]
+
+
+def lay_path(good: np.ndarray, bad: np.ndarray, alpha: float, n_good: np.ndarray | None = None, n_bad: np.ndarray | None = None) -> list[tuple[int, ...]]:
+    """Settings of increasing strictness: for each rule the number of its cutoff, -1 for off.
+
+    ``good`` and ``bad`` are :func:`first_rejected` of labelled rows, ``n_good`` and ``n_bad`` how often each
+    stands (once).  Each step
+    moves one rule to the cutoff with most bad rows newly rejected for each
+    good one (and a half); of equal ones the laxer, and the rule that comes first.  The
+    path ends where no bad row is won, more good rows than bad ones would be
+    lost, or over 2 alpha of the good rows are.
+    """
+
+    def counts(rows: np.ndarray, n: np.ndarray | None, setting: list[int]) -> np.ndarray:
+        own = (rows > np.array(setting)).all(1)
+        n = own.astype(np.float64) if n is None else n * own
+        return np.stack([np.bincount(rows[:, r], n, len(CUTOFFS) + 1) for r in range(len(RULES))]).astype(np.int64)
+
+    return _lay(lambda setting: (counts(good, n_good, setting), counts(bad, n_bad, setting)), alpha)
+
+
+def lay_paths(rows: DataFrame, groups: int, alpha: float, max_held: int) -> list[list[tuple[int, ...]]]:
+    """The path of each group on all of ``rows`` (g, good, first).
+
+    Equal rows are counted.  Up to ``max_held`` different ones the driver holds them; beyond, Spark
+    counts what each step leaves, with the same result.
+    """
+    kinds = materialise(rows.groupBy("g", "good", "first").agg(F.count("*").alias("n")), "kinds")
+    if kinds.count() <= max_held:
+        held = kinds.toArrow()
+        g, good, n = (held.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        good, first = good.astype(bool), held.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(RULES))
+        own = [((g == i) & good, (g == i) & ~good) for i in range(groups)]
+        return [lay_path(first[a], first[b], alpha, n[a], n[b]) for a, b in own]
+
+    def left(g: int):
+        def count(setting: list[int]) -> np.ndarray:
+            some = kinds.where(F.col("g") == g)
+            for r, c in enumerate(setting):
+                some = some.where(F.col("first")[r] > c)
+            out = np.zeros((2, len(RULES), len(CUTOFFS) + 1), np.int64)
+            for x in some.select("good", "n", F.posexplode("first").alias("r", "c")).groupBy("good", "r", "c").agg(F.sum("n").alias("n")).collect():
+                out[0 if x["good"] else 1, x["r"], x["c"]] = x["n"]
+            return out
+
+        return count
+
+    return [_lay(left(g), alpha) for g in range(groups)]
 
 
 def least_rows(alpha: float, level: float) -> int:
@@ -208,7 +248,7 @@ class RuleModel:
         return ~base_failed(m) & ~(rates(m) > self.cutoffs[stratum(m)]).any(1)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "quality", alpha: float = 0.03, delta: float = 0.05, fit_share: float = 1 / 3, max_fit: int = 20_000, seed: int = 29) -> RuleModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id", label: str = "quality", alpha: float = 0.03, delta: float = 0.05, fit_share: float = 1 / 3, max_held: int = 100_000, seed: int = 29) -> RuleModel:
     """Choose cutoffs on the rows of ``docs`` that have labels and pass the base rule; only those that ``labels`` calls good bound the false rejections."""
     told = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_column).alias("id")).agg((F.min(label) == 1).alias("good"))
     told = materialise(told, "told")
@@ -224,17 +264,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str
     rows = docs.select(F.col(id_column).alias("id"), as_bytes(text).alias("text")).join(few(told), "id").select("id", "good", "text")
     seen = materialise(rows.mapInArrow(measured, shape), "labelled")
     to_fit = hash_share(F.col("id"), fit_share, seed)
-    n_fit, counts = seen.where(to_fit).count(), [0] * (len(BANDS) + 1)
+    counts = [0] * (len(BANDS) + 1)
     holdout = seen.where(~to_fit & F.col("good"))
     for r in holdout.groupBy("stratum").agg(F.count_distinct("id").alias("n")).collect():
         counts[r["stratum"]] = r["n"]
     group = merged(counts, least_rows(alpha, delta / len(counts)))
-    some = seen.where(to_fit & hash_share(F.col("id"), max_fit / max(1, n_fit), seed + 1)).select("good", "stratum", "first").toArrow()
-    good, bands = (some.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    first = np.array(some.column(2).to_pylist(), np.int64).reshape(-1, len(RULES))
-    own = np.array(group, np.int64)[bands.astype(np.int64)]
-    paths = [lay_path(first[(own == g) & good.astype(bool)], first[(own == g) & ~good.astype(bool)], alpha) for g in range(max(group) + 1)]
     in_group = F.element_at(F.array(*map(F.lit, group)), F.col("stratum").cast("int") + 1)
+    paths = lay_paths(seen.where(to_fit).select(in_group.alias("g"), "good", "first"), max(group) + 1, alpha, max_held)
     step = F.lit(None).cast("int")
     for g, path in enumerate(paths):
         for i in reversed(range(len(path))):
