@@ -552,6 +552,18 @@ def naive_scan(model, text):
     return out
 
 
+def test_marks_are_counted_in_all_texts(spark):
+    prose = "ko ma ti ra " * 14
+    texts = [prose + f"mit {i}" if i % 2 else prose + f"distribute {i}" for i in range(300)] + [f"{prose} copyright merge {i}" for i in range(40)] + [None, "", prose * 3 + "ko"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    n, seen = license_scan.count_prose(docs, "text")
+    own = [set(w[a : a + license_scan.PLAIN]) for t in texts for w in [license_scan.tokens(t or "")] for a in range(0, len(w), license_scan.PLAIN)]
+    own = [x for x in own if not license_scan.tells(x)]
+    assert n == len(own) == 303 and (seen["mit"], seen["distribute"], seen["merge"]) == (150, 150, 0) and "ko" not in seen
+    marks = license_scan.train(docs, max_paragraphs=1).marks
+    assert marks == license_scan.learn_marks(n, seen) and "merge" in marks and not {"mit", "distribute"} & marks
+
+
 def test_scans_equal_the_naive_ones(licence_rows, licence_model):
     rnd = random.Random(9)
     wording = [w for ts in license_scan.TEMPLATES.values() for t in ts for w in t.split()]

@@ -18,7 +18,7 @@ probability reaches the threshold, which at most ``SLIP`` of left-out families d
 ``unknown``, as is one whose probability of being licence wording at all is as high as in ``SLIP`` of the left-out decoys.
 
 A document without a mark is passed over; for every other the whole text is scanned, in one pass without a
-shuffle.  The model's size is fixed by the templates; about
+shuffle.  The model's size is fixed by the templates; marks are learned from counts over all texts, and about
 ``max_paragraphs`` documents chosen by hash give a stretch of words each, from anywhere, and one around a word that templates
 have, to train on.
 
@@ -327,22 +327,43 @@ def tells(words: list[str]) -> bool:
     return any(w.startswith(TELLING) for w in words)
 
 
-def learn_marks(plain: list[list[str]], times: float = 8.0) -> set[str]:
-    """Words of templates that are at least ``times`` as frequent there as in the corpus's stretches without a telling word."""
+def count_prose(docs: DataFrame, text: str) -> tuple[int, Counter]:
+    """How many stretches of PLAIN words without a telling word all texts hold together, and for each word of templates, in how many of these it is."""
+    wanted = {w for ts in [*TEMPLATES.values(), GENERIC] for t in ts for w in tokens(t)}
+
+    def count(batches):
+        found, n, telling = Counter(), 0, {}
+        for _, texts in pieces(batches, 0):
+            for t in texts:
+                words = tokens(t.decode("utf-8", "replace"))
+                for a in range(0, len(words), PLAIN):
+                    own = set(words[a : a + PLAIN])
+                    for w in own - telling.keys():
+                        telling[w] = w.startswith(TELLING)
+                    if not any(map(telling.__getitem__, own)):
+                        n += 1
+                        found.update(own & wanted)
+                    if len(telling) > 200_000:
+                        telling = {}
+        yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.string()), pa.array([n, *found.values()], pa.int64())], names=["word", "n"])
+
+    rows = docs.where(F.col(text).isNotNull()).select(as_bytes(text).alias("t")).mapInArrow(count, "word string, n long")
+    seen = {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return seen.pop(None, 0), Counter(seen)
+
+
+def learn_marks(n: int, corpus: Counter, times: float = 8.0) -> set[str]:
+    """Words of templates that are at least ``times`` as frequent there as in the corpus's stretches without a telling word (:func:`count_prose`)."""
     templates = [set(tokens(t)) for ts in [*TEMPLATES.values(), GENERIC] for t in ts]
-    prose = [set(words) for words in plain if not tells(words)]
-    count = lambda sets: Counter(w for s in sets for w in s)
-    corpus, rate = count(prose), {w: n / len(templates) for w, n in count(templates).items()}
-    found = {w for w in rate if len(w) > 1 and w not in SMALL and rate[w] >= times * corpus[w] / max(1, len(prose))}
+    rate = {w: k / len(templates) for w, k in Counter(w for t in templates for w in t).items()}
+    found = {w for w in rate if len(w) > 1 and w not in SMALL and rate[w] >= times * corpus[w] / max(1, n)}
     return {w for w in found if len(w) > 3 or any(c.isdigit() for c in w) or w in ABBREVIATIONS}
 
 
-
-
 def train(docs: DataFrame, text: str = "text", max_paragraphs: int = 2000, seed: int = 3) -> LicenceModel:
     """Train on the templates, generic wording and decoys, and on stretches of about ``max_paragraphs`` documents as "none"."""
     plain, near = _plain(docs, text, max_paragraphs, seed)
-    marks = learn_marks(plain)
+    marks = learn_marks(*count_prose(docs, text))
     plain, near = ([p for p in ps if not tells(p)] for ps in (plain, near))  # what may be a licence isn't learned as none
     near = [p[a:b] for p in near for a, b in passages(p, marks)]  # as they come when scanning
     plain = [*plain, *near] or [["nothing"]]
