@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -564,6 +565,17 @@ def test_marks_are_counted_in_all_texts(spark):
     assert marks == license_scan.learn_marks(n, seen) and "merge" in marks and not {"mit", "distribute"} & marks
 
 
+def test_counting_prose_takes_no_longer_with_many_different_words():
+    texts = [" ".join(f"w{i}x{j}" for j in range(license_scan.PLAIN)).encode() for i in range(3000)]  # 180,000 different words
+    texts[5] += b" reserved"
+    started = time.process_time()
+    for t in texts:
+        license_scan.tokens(t.decode())
+    plain = time.process_time()
+    assert license_scan.count_stretches(texts, {"w7x7", "w8x8", "reserved"}) == (3000, Counter({"w7x7": 1, "w8x8": 1}))
+    assert time.process_time() - plain < 15 * (plain - started)
+
+
 def test_scans_equal_the_naive_ones(licence_rows, licence_model):
     rnd = random.Random(9)
     wording = [w for ts in license_scan.TEMPLATES.values() for t in ts for w in t.split()]

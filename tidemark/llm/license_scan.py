@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -327,24 +328,34 @@ def tells(words: list[str]) -> bool:
     return any(w.startswith(TELLING) for w in words)
 
 
+def count_stretches(texts: Iterable[bytes], wanted: set[str]) -> tuple[int, Counter]:
+    """How many stretches of PLAIN words without a telling word the texts hold, and for each word of ``wanted``, in how many of these it is.
+
+    The time a stretch takes doesn't depend on how many different words came before it.
+    """
+    n, found = 0, Counter()
+    seen, telling = set(), set()  # words looked at, and those of them that tell
+    for t in texts:
+        words = tokens(t.decode("utf-8", "replace"))
+        for a in range(0, len(words), PLAIN):
+            own = set(words[a : a + PLAIN])
+            new = own - seen
+            seen |= new
+            telling.update(w for w in new if w.startswith(TELLING))
+            if telling.isdisjoint(own):
+                n += 1
+                found.update(own & wanted)
+            if len(seen) > 200_000:
+                seen, telling = set(), set()
+    return n, found
+
+
 def count_prose(docs: DataFrame, text: str) -> tuple[int, Counter]:
-    """How many stretches of PLAIN words without a telling word all texts hold together, and for each word of templates, in how many of these it is."""
+    """:func:`count_stretches` of all texts together, for the words of templates."""
     wanted = {w for ts in [*TEMPLATES.values(), GENERIC] for t in ts for w in tokens(t)}
 
     def count(batches):
-        found, n, telling = Counter(), 0, {}
-        for _, texts in pieces(batches, 0):
-            for t in texts:
-                words = tokens(t.decode("utf-8", "replace"))
-                for a in range(0, len(words), PLAIN):
-                    own = set(words[a : a + PLAIN])
-                    for w in own - telling.keys():
-                        telling[w] = w.startswith(TELLING)
-                    if not any(map(telling.__getitem__, own)):
-                        n += 1
-                        found.update(own & wanted)
-                    if len(telling) > 200_000:
-                        telling = {}
+        n, found = count_stretches((t for _, texts in pieces(batches, 0) for t in texts), wanted)
         yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.string()), pa.array([n, *found.values()], pa.int64())], names=["word", "n"])
 
     rows = docs.where(F.col(text).isNotNull()).select(as_bytes(text).alias("t")).mapInArrow(count, "word string, n long")
