@@ -75,6 +75,34 @@ def test_a_trie_is_frozen_in_a_few_times_its_size():
     assert trie.lengths.nbytes > 20 << 20 and peak < 4.5 * trie.lengths.nbytes
 
 
+def test_counting_and_scoring_take_a_few_times_a_small_part_of_the_text():
+    rng = np.random.default_rng(5)
+    texts = [rng.choice(np.frombuffer(b"abcdefg hij", np.uint8), 100_000).tobytes() for _ in range(60)]
+    peaks = []
+    trie = ppm.Trie.freeze(ppm.shorter([ppm.count_windows(texts[:1], 3)], 3), 2000, 1)
+    tally = ppm.Tally(3)
+    for run in (lambda: [tally.add(0, t) for t in texts], lambda: trie.bits(texts[:20])):
+        tracemalloc.start()
+        run()
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert peaks[0] < 60 and peaks[1] < 20
+    got = [(b.column(1).to_numpy(), b.column(2).to_numpy()) for b in tally.batches(final=True)]
+    assert all(np.array_equal(x, y) for x, y in zip(ppm.merge_counts(got), ppm.count_windows(texts, 3), strict=True))
+
+
+def test_counts_of_a_corpus_are_dealt_out_before_they_are_summed(spark):
+    texts = spark.createDataFrame([(bytearray(t),) for t in (b"ab ab", b"", b"AB c", b"ab ab")], "text binary").repartition(3)
+    counted = lm_score.count_corpus(texts, 1)
+    plan = counted._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = max(i for i, x in enumerate(plan) if "Exchange hashpartitioning(model" in x)
+    assert "MapInArrow" in plan[last + 1] and sum("Exchange hashpartitioning(model" in x for x in plan) == 1
+    got = {(r["model"], r["key"]): r["cnt"] for r in counted.collect()}
+    keys, cnt = ppm.count_windows([b"ab ab", b"", b"ab c", b"ab ab"], 1)
+    words_ = {lm_score._word_hash(w): n for w, n in ((b"ab", 5), (b"c", 1))}
+    assert got == {(0, k): n for k, n in zip(keys.tolist(), cnt.tolist(), strict=True)} | {(lm_score.WORDS, k): n for k, n in words_.items()}
+
+
 def test_windows_in_spark(spark):
     texts = [b"abab", b"", b"\xc3\xa4" * 5, b"abab"]
     df = spark.createDataFrame([(0, bytearray(t)) for t in texts], "model int, text binary").repartition(3)

@@ -60,13 +60,14 @@ def count_corpus(texts: DataFrame, order: int) -> DataFrame:
             for text in map(bytes.lower, texts):
                 tally.add(0, text)
                 words.update(text.split())
-                if len(words) > 600_000:
+                if len(words) > 200_000:
                     yield from flush()
             yield from tally.batches(final=False)
         yield from tally.batches(final=True)
         yield from flush()
 
-    return texts.mapInArrow(run, "model int, key long, cnt long").groupBy("model", "key").agg(F.sum("cnt").alias("cnt"))
+    # a task's keys differ already: dealt out before they are summed, no task holds them all in a hash map as well
+    return texts.mapInArrow(run, "model int, key long, cnt long").repartition("model", "key").groupBy("model", "key").agg(F.sum("cnt").alias("cnt"))
 
 
 class ByteModel:
@@ -84,7 +85,7 @@ class ByteModel:
         """log10(count + 1) of a hot word, else -1."""
         if self._by_hash is None:
             self._by_hash = dict(zip(self.hot.tolist(), self.logs.tolist(), strict=True))
-        if len(self._by_word) > 400_000:
+        if len(self._by_word) > 100_000:
             self._by_word.clear()
         found = self._by_word[word] = self._by_hash.get(_word_hash(word), -1.0)
         return found

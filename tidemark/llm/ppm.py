@@ -31,7 +31,7 @@ from tidemark.runtime import materialise
 
 PAD, END = 0, 255
 COLD = -(1 << 31)  # in place of a child: a context of the model that isn't in the trie
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def buffer(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,16 +50,20 @@ def count_windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarra
     """Distinct windows of ``order`` context bytes and one symbol, packed in int64 (symbol lowest), and their counts."""
     data, starts = buffer(texts, order)
     packed = np.zeros(len(data) - order, np.int64)
-    for k in range(order, -1, -1):
-        packed |= data[order - k : len(data) - k].astype(np.int64) << (8 * k)
+    for k in range(order, -1, -1):  # in place: these arrays are what takes most memory
+        packed <<= 8
+        packed |= data[order - k : len(data) - k]
     real = np.ones(len(data), bool)
     real[_pads(starts, order)] = False
     return np.unique(packed[real[order:]], return_counts=True)
 
 
 def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+    keys = np.concatenate([k for k, _ in parts])
+    by = np.argsort(keys, kind="stable")  # parts are mostly sorted: their runs are merged
+    keys, cnt = keys[by], np.concatenate([c for _, c in parts])[by]
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(cnt, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
 
 
 def shorter(counts: list[tuple[np.ndarray, np.ndarray]], order: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
@@ -149,17 +153,17 @@ class Trie:
         if not texts:
             return out
         data, starts = buffer(texts, self.order)
-        raw, data = data, self.rank[data]
         for a in range(self.order, len(data), STEP):
             b = min(a + STEP, len(data))
+            ranked = self.rank[data[a - self.order : b]]
             at = np.zeros(b - a, np.int64)
             for k in range(1, self.order + 1):
-                step = self.child[np.maximum(at, 0) * self.width + data[a - k : b - k]]
+                step = self.child[np.maximum(at, 0) * self.width + ranked[self.order - k : len(ranked) - k]]
                 at = np.where(at >= 0, step, at)
             out_of_trie = np.flatnonzero(at == COLD)
             at[out_of_trie] = 0
             at = np.where(at >= 0, at, -1 - at)
-            got = np.take(self.lengths, at * self.width + data[a:b], axis=0)
+            got = np.take(self.lengths, at * self.width + ranked[self.order :], axis=0)
             first = int(np.searchsorted(starts, a, "right")) - 1
             last = int(np.searchsorted(starts, b, "left"))
             if len(out_of_trie):
@@ -170,7 +174,7 @@ class Trie:
                 place, whose = place[real], whose[real]
                 packed = np.zeros(len(place), np.int64)
                 for k in range(self.order + 1):
-                    packed |= raw[place - k].astype(np.int64) << (8 * k)
+                    packed |= data[place - k].astype(np.int64) << (8 * k)
                 cold.append((whose, packed))
             for k in range(self.order):  # PAD positions carry no code
                 p = starts[first:last] + k - a
@@ -233,7 +237,7 @@ COUNTS = pa.schema([("model", pa.int32()), ("key", pa.int64()), ("cnt", pa.int64
 class Tally:
     """Window counts of one task, kept merged; gives batches when it holds ``limit`` windows and at the end."""
 
-    def __init__(self, order: int, limit: int = 3_000_000, step: int = 4 << 20):
+    def __init__(self, order: int, limit: int = 3_000_000, step: int = 1 << 20):
         self.order, self.limit, self.step = order, limit, step
         self.texts: dict[int, list[bytes]] = {}
         self.held: dict[int, int] = {}
