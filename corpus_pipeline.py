@@ -6,38 +6,60 @@ returns a DataFrame.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import byte_bpe, quality_classifier, quality_rules, simhash_dedup, source_mix
 from tidemark.llm.common import fold
-from tidemark.runtime import materialise, release, scope
+from tidemark.runtime import materialise, release, scope, trimming
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _lean(stage: Stage) -> Stage:
+    """``stage``, between whose queries the driver gives back native memory: the five run over a hundred in one session."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with trimming(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@_lean
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from every third fold but one, as its query does."""
     model = quality_classifier.train(docs, _labels(spark, sf_dir), fold("doc_id", 3) != 1)
     return quality_classifier.keep_good(docs, model)
 
 
+@_lean
 def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality_rules.keep_passing(docs, quality_rules.train(docs, _labels(spark, sf_dir)))
 
 
+@_lean
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
     return simhash_dedup.keep_one(docs)
 
 
+@_lean
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for the first and for the second time a document is taken, always whole."""
     return source_mix.take(docs)
 
 
+@_lean
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids, source and language with each text's token ids, their number and digests."""
     import public_tokenizers

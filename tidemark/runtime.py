@@ -19,10 +19,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own_dir: str | None = None
+_trimming = 0  # how many blocks of :func:`trimming` are open
 _scopes: list[dict[str, SparkSession]] = [{}]  # tables made and not yet deleted, by path; the first is the process's
 
 
@@ -52,6 +55,8 @@ def materialise(df: DataFrame, tag: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
     _scopes[-1][path] = spark
     df.write.parquet(path)
+    if _trimming:
+        trim(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
@@ -93,6 +98,41 @@ def scope(keep: tuple[DataFrame, ...] | list[DataFrame] = ()) -> Iterator[None]:
                 _delete(spark, path)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Have the driver's JVM and pyarrow give native memory that they don't use back to the system.
+
+    Spark's threads leave freed memory in up to 8 malloc arenas a core, which grow with the number of queries
+    and lie outside the heap's limit.  False where the JVM has no command for it: it has on Linux with glibc,
+    from Java 17.0.9 on.
+    """
+    pa.default_memory_pool().release_unused()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    try:
+        named = jvm.java.lang.Class.forName
+        kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # the server's own class isn't open to py4j, its interface is
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
+@contextmanager
+def trimming(spark: SparkSession) -> Iterator[None]:
+    """Trim on entering, after each table written inside, and on leaving."""
+    global _trimming
+    trim(spark)
+    _trimming += 1
+    try:
+        yield
+    finally:
+        _trimming -= 1
+        trim(spark)
+
+
 @atexit.register
 def _clear() -> None:
     """Delete what is left when the process ends, as far as its Spark still runs."""
